@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,14 @@ class SharedTable:
         path.getFileSystem(conf).delete(path, True)
 
 
+def settle() -> None:
+    """Let the driver forget what nothing refers to, so that shuffle files of finished steps go."""
+    gc.collect()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,14 +72,6 @@ def text_tag(col: str = "text") -> Column:
     return F.hash(whole_text(col))
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on keys."""
-    out = F.lit(True)
-    for k in keys:
-        out = out & left[k].eqNullSafe(right[k])
-    return out
-
-
 def sliced(batch: pa.RecordBatch, text: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about ``limit`` bytes, one row at least."""
     n = batch.num_rows

@@ -14,8 +14,8 @@ to each of which its homes go; the sample sets the balance and not the result. A
 stars, and their components are found by contraction.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, which is
-linked like any other. Rows with equal texts share a component. A null doc_id is never the
-component's id unless it has no other. An empty table gives an empty result.
+linked like any other. Rows with equal texts share a component. A component whose rows all have
+a null doc_id has the null id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTable, sliced, text_buffers
+from .common import SharedTable, sliced, text_buffers, text_tag
 from .graph import components, local_stars
 
 WORDS = 3
@@ -91,7 +91,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+    """doc_id, tag (of the text) and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +99,10 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
                 data, ends = text_buffers(part.column(1))
                 blob = data.tobytes()
                 found = fingerprints([blob[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())], words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found.view(np.int64))], names=["doc_id", "tag", "fp"])
 
-    narrow = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text}` AS text")
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), text_tag(text).alias("tag"))
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, tag int, fp long")
 
 
 # --- the code
@@ -306,8 +306,8 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> D
     return met.mapInArrow(run, "u long, v long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fingerprint, component_id of each row of ``docs``."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+    """doc_id, tag, fp, component_id of each row of ``docs``."""
     rows = SharedTable(fingerprint_rows(docs, id_col, text, words), "fingerprints").df
     nodes = SharedTable(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct").df
     edges = SharedTable(links(nodes, threshold, crowd), "links").df
@@ -315,11 +315,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wor
     known = SharedTable(nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "known").df
     least = known.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = SharedTable(known.join(least, "root").select("fp", "component_id"), "ids").df
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(ids, "fp")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc_id, fingerprint, component_id of each row of ``docs``."""
+    return grouped(docs, id_col, text, **options).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is that of their group, with all their columns; the others go.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` but those whose group has a smaller doc_id, with all their columns."""
-    gone = near_groups(docs, id_col, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = SharedTable(gone, "near").df
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    Rows that share the group's id all stay, as do all rows of a group without any id.
+    """
+    gone = grouped(docs, id_col, text, **options).where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"), F.col("tag").alias("_tag"))
+    gone = SharedTable(gone.distinct(), "near").df
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (text_tag(text) == gone["_tag"]), "left_anti")
