@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, strings, whole_text
+from .common import sliced, strings
 
 LANDMARKS = 48
 SAMPLE = 300
@@ -125,7 +125,7 @@ def training_ids(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMAR
     A language's share of the rows is thinned to about four samples by the hash before it is
     ranked, so no task ranks a language's whole rows.
     """
-    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (bucket("doc_id") != 2) & F.length("text").isNotNull())
+    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (bucket("doc_id") != 2) & F.col("text").isNotNull())
     known = known.withColumn("h", F.xxhash64("doc_id"))
     counts = known.groupBy("lang").count()
     part = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -135,8 +135,8 @@ def training_ids(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMAR
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model | None:
-    ids = training_ids(docs, sample, landmarks).withColumnRenamed("lang", "l").distinct()
-    rows = docs.join(F.broadcast(ids), (docs["doc_id"] == ids["doc_id"]) & (docs["lang"] == ids["l"])).select(docs["doc_id"], "lang", "landmark", whole_text().alias("text"))
+    ids = training_ids(docs, sample, landmarks).distinct()
+    rows = docs.select("doc_id", "lang", F.col("text")).where("text IS NOT NULL").join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "landmark", "text")
     rows = sorted(rows.collect())
     return fit([r.text for r in rows], [r.lang for r in rows], [r.landmark for r in rows])
 

@@ -11,7 +11,7 @@ hashes of their ids; that is the only bound. Every whole text is scored.
 Defined cases: a null or empty text has no features and gets the score of the intercept. A row
 whose doc_id is null is never used in training and is not held out. Labels that are null are
 not used; of several labels of a document the larger counts. Without rows of both classes every
-score is 0. Repeated rows give repeated results; other columns are ignored.
+score is that of the only class, or 0. Repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not len(self.places):
-            return np.full(len(texts), _sigmoid(self.intercept))
+            return np.full(len(texts), float(self.intercept > 0))
         wanted = self.wanted()
         doc, place = features(texts, wanted)
         sums = np.bincount(doc, self.weights[np.searchsorted(self.places, place)], len(texts))
