@@ -106,8 +106,8 @@ def pack(entries: DataFrame, per_row: int = ROW_ENTRIES) -> DataFrame:
     """Index rows (start_tile_id, entry) of up to ``per_row`` consecutive entries of a leaf.
 
     ``entry`` is ``<first tile>|<first offset>`` followed by a ``:`` and, for each entry,
-    ``<tile delta>|<offset delta>|<length>|<run length>|<chunk>:``, all in base 64; the first
-    entry's deltas are against the row's own first values.
+    ``<tile delta>|<offset delta>|<length>|<run length>|<chunk>:``, all in base 64; the deltas
+    are against the row's first tile and offset.
     """
     by_leaf = Window.partitionBy("leaf").orderBy("pos")
     numbered = entries.withColumn("_nth", F.row_number().over(by_leaf)).withColumn("_row", F.expr(f"(_nth - 1) div {per_row}"))
@@ -115,12 +115,10 @@ def pack(entries: DataFrame, per_row: int = ROW_ENTRIES) -> DataFrame:
     rows = numbered.groupBy("leaf", "_row").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("es"))
     e = F.col("es")
 
-    def text(x: Column, i: Column) -> Column:
-        before = F.get(e, i - 1)
-        first = F.get(e, F.lit(0))
-        tile = x["tile_id"] - F.when(i > 0, before["tile_id"]).otherwise(first["tile_id"])
-        offset = x["chunk_offset"] - F.when(i > 0, before["chunk_offset"]).otherwise(first["chunk_offset"])
-        parts = (tile, offset, x["length"], x["run_length"], x["chunk_id"])
+    first = F.get(e, F.lit(0))
+
+    def text(x: Column) -> Column:
+        parts = (x["tile_id"] - first["tile_id"], x["chunk_offset"] - first["chunk_offset"], x["length"], x["run_length"], x["chunk_id"])
         return F.concat(F.concat_ws("|", *(radix64.encode(p) for p in parts)), F.lit(":"))
 
     head = F.concat(radix64.encode(e[0]["tile_id"]), F.lit("|"), radix64.encode(e[0]["chunk_offset"]), F.lit(":"))
@@ -135,8 +133,7 @@ def unpack(rows: DataFrame) -> DataFrame:
     head = F.get(F.col("p"), F.lit(0))
     entries = F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda s: F.struct(*(number(s, i).alias(n) for i, n in enumerate(("dt", "do", "length", "run_length", "chunk_id")))))
     out = cut.select("start_tile_id", number(head, 0).alias("t0"), number(head, 1).alias("o0"), F.posexplode(entries).alias("i", "e"))
-    w = Window.partitionBy("start_tile_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return out.select("start_tile_id", "i", (F.col("t0") + F.sum("e.dt").over(w)).alias("tile_id"), (F.col("o0") + F.sum("e.do").over(w)).alias("chunk_offset"), "e.length", "e.run_length", "e.chunk_id")
+    return out.select("start_tile_id", "i", (F.col("t0") + F.col("e.dt")).alias("tile_id"), (F.col("o0") + F.col("e.do")).alias("chunk_offset"), "e.length", "e.run_length", "e.chunk_id")
 
 
 def overlapping(entries: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -60,12 +60,14 @@ def asof_lookup(probes: DataFrame, index: DataFrame, probe_key: str = "tile_id",
     both = entries.unionByName(asked).withColumn("b", bucket(F.col("k"), cuts))
     order = Window.partitionBy("b").orderBy("k", "side", "e").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("e", F.last("e", ignorenulls=True).over(order)).where("side = 1")
-    # One row for each bucket that has entries; the carry reaches over empty ones.
-    last = entries.withColumn("b", bucket(F.col("k"), cuts)).groupBy("b").agg(F.max("e").alias("e"))
-    every = probes.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("b"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.join(last, "b", "left").select("b", F.last("e", ignorenulls=True).over(before).alias("carry"))
-    found = found.join(F.broadcast(carry), "b", "left").select(F.col("k").alias("_k"), F.coalesce("e", "carry").alias("_e"))
+    if cuts:
+        # One row for each bucket that has entries, MAX_BUCKETS at most; the carry reaches over empty ones.
+        last = entries.withColumn("b", bucket(F.col("k"), cuts)).groupBy("b").agg(F.max("e").alias("e"))
+        every = probes.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("b"))
+        before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        carry = every.join(last, "b", "left").select("b", F.last("e", ignorenulls=True).over(before).alias("carry"))
+        found = found.join(F.broadcast(carry), "b", "left").withColumn("e", F.coalesce("e", "carry"))
+    found = found.select(F.col("k").alias("_k"), F.col("e").alias("_e"))
     out = probes.join(found, probes[probe_key] == found["_k"], "left")
     return out.select(*(probes[c] for c in probes.columns), F.col("_e.k").alias(f"{prefix}{index_key}"), *(F.col(f"_e.{c}").alias(f"{prefix}{c}") for c in rest))
 

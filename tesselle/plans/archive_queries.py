@@ -107,7 +107,7 @@ PACKED = (
     + """,
   c AS (SELECT chunk_id, min("offset") AS start_byte FROM entries GROUP BY chunk_id),
   r AS (SELECT leaf, pos, tile_id, "offset" - start_byte AS o, length, run_length, chunk_id, (row_number() OVER (PARTITION BY leaf ORDER BY pos) - 1) // 50 AS nth FROM entries JOIN c USING (chunk_id)),
-  d AS (SELECT *, tile_id - coalesce(lag(tile_id) OVER w, tile_id) AS dt, o - coalesce(lag(o) OVER w, o) AS dd FROM r WINDOW w AS (PARTITION BY leaf, nth ORDER BY pos)),
+  d AS (SELECT *, tile_id - first_value(tile_id) OVER w AS dt, o - first_value(o) OVER w AS dd FROM r WINDOW w AS (PARTITION BY leaf, nth ORDER BY pos)),
   s AS (SELECT *, """
     + " || '|' || ".join(SQL64.format(n=n) for n in ("dt", "dd", "length", "run_length", "chunk_id"))
     + """ || ':' AS item FROM d),
