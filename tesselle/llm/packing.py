@@ -5,7 +5,8 @@ is longer than a sequence is cut into full pieces, the first piece being the res
 goes depends on its length only, so the plan is made for the counts by length, of which there are
 as many as a sequence has tokens, however large the corpus is: fill a bin greedily with the
 longest pieces that fit, then replace the bin's smallest piece with two unpacked pieces that fit
-its expanded gap more tightly. A bin's pattern is used for as many bins as the counts allow.
+its expanded gap more tightly. A bin's pattern is used for as many bins as the counts allow. The
+plan without the replacement step is taken where it has fewer sequences.
 Tasks number their own pieces by length; offsets by task and length turn that into ranks, and a
 piece's length and rank name its slot in the plan.
 
@@ -161,8 +162,19 @@ def pieces_of(docs: DataFrame, vocabulary: str, ranks: str | None = None, patter
 def plan(counts: dict[int, int], length: int = LENGTH) -> np.ndarray:
     """Runs of slots: rows of (length, first rank, end rank, first sequence, offset).
 
-    Bins of one pattern are planned together, at least half of what the scarcest length allows,
-    so the number of patterns grows with the number of lengths and the logarithm of the counts.
+    Replacing spends small pieces early, which does not always pay: the plan without that step is
+    made as well, and the one with fewer sequences is taken, the best-two-fit one on a tie.
+    """
+    plans = [plan_bins(counts, length, replace) for replace in (True, False)]
+    return min(plans, key=lambda runs: (runs[:, 3] + runs[:, 2] - runs[:, 1]).max(initial=0))
+
+
+def plan_bins(counts: dict[int, int], length: int, replace: bool) -> np.ndarray:
+    """A plan with or without the replacement step.
+
+    Bins of one pattern are planned together, as many as the scarcest of its lengths allows, so
+    each pattern uses a length up or leaves less of it than the pattern holds: the number of
+    patterns grows with the lengths, not with the corpus.
     """
     left = np.zeros(length + 1, np.int64)
     for size, n in counts.items():
@@ -183,7 +195,7 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> np.ndarray:
             bin_.append(size)
             taken[size] += 1
             gap -= size
-        if gap and len(bin_) > 1:
+        if replace and gap and len(bin_) > 1:
             smallest = bin_[-1]
             pair = best_two(left - taken, gap + smallest, smallest)
             if pair:
@@ -217,7 +229,8 @@ def best_two(free: np.ndarray, gap: int, above: int) -> tuple[int, int] | None:
     best = int(sums.max())
     if best <= above:
         return None
-    i = np.flatnonzero(sums == best)[-1]
+    tied = np.flatnonzero(sums == best)
+    i = tied[np.argmin(np.abs(sizes[tied] - partner[tied]))]
     a, b = int(sizes[i]), int(partner[i])
     return (max(a, b), min(a, b))
 
