@@ -66,6 +66,25 @@ def monitored(duration: Column, failed: Column, error_class: Column | None = Non
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull()))
 
 
+def cdn_hit(deployment_key: Column, request_type: Column, z: Column, style: Column) -> tuple[Column, Column]:
+    """(tags, fields) of a response that the cache gave: a tile's zoom or a style's name goes along."""
+    tags = F.create_map(F.lit("deployment_key"), deployment_key, F.lit("request_type"), F.coalesce(request_type, F.lit("unknown")), F.lit("z"), F.when(request_type == "tile", z), F.lit("style"), F.when(request_type == "style", style))
+    return F.map_filter(tags, lambda k, v: v.isNotNull()), F.create_map(F.lit("count"), field(F.lit(1), "int"))
+
+
+def query_point(sql: Column, region: Column, primary: Column, duration: Column, rows_read: Column, sql_duration: Column) -> tuple[Column, Column]:
+    """(tags, fields) of an index query; an unknown region or replica is the empty text."""
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    tags = F.create_map(F.lit("query"), sql, F.lit("served_by_region"), blank(region), F.lit("served_by_primary"), blank(primary))
+    fields = {"duration": field(duration, "duration"), "rows_read": field(rows_read, "int"), "sql_duration": field(sql_duration, "duration"), "count": field(F.lit(1), "int")}
+    return tags, F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in fields.items())), lambda e: e["v"]["value"].isNotNull()))
+
+
+def error_point(message: Column) -> tuple[Column, Column]:
+    """(tags, fields) of a failure: no field, so that it is kept as a row but not sent as a line."""
+    return F.create_map(F.lit("error"), F.coalesce(message, F.lit("unknown"))), F.create_map().cast("map<string, struct<value: double, type: string>>")
+
+
 def escaped(text: Column, characters: str) -> Column:
     """Text with a backslash before each of the characters."""
     return F.regexp_replace(text, "([" + "".join("\\" + c for c in characters) + "])", r"\\$1")

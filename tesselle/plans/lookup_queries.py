@@ -204,3 +204,26 @@ def server_timing(spark, sf_dir):
     label = F.when(F.col("event_id") % 3 == 0, "duration").when(F.col("event_id") % 3 == 1, "sql_duration").otherwise("count")
     item = tm.timing(F.col("event_type"), label, F.floor("value").cast("string"))
     return tm.server_timing(table(spark, sf_dir, "events").select("user_id", "event_id", item.alias("item")), "user_id", "event_id")
+
+
+@query(f"""WITH {PATHS} SELECT event_id, 'tiles_cdn_hit,deployment_key={KEY},request_type=' || coalesce(request_type, 'unknown')
+    || CASE WHEN request_type = 'style' THEN ',style=' || style WHEN request_type = 'tile' THEN ',z=' || z ELSE '' END || ' count=1i' AS line FROM parsed""")
+def cdn_hit_points(spark, sf_dir):
+    tags, fields = tm.cdn_hit(F.lit(KEY), F.col("request_type"), F.col("z"), F.col("style"))
+    return _parsed(spark, sf_dir).select("event_id", tm.line_protocol(F.lit("tiles_cdn_hit"), tags, fields).alias("line"))
+
+
+@query("""SELECT event_id, 'd1_query,query=SELECT\\ 1' || CASE WHEN user_id % 2 = 0 THEN ',served_by_primary=true' ELSE '' END || ',served_by_region=R' || (user_id % 3)
+    || ' count=1i,duration=' || CAST(floor(value) AS BIGINT) || 'i,rows_read=' || (event_id % 50) || 'i' || CASE WHEN user_id % 5 > 0 THEN ',sql_duration=' || CAST(floor(value / 2) AS BIGINT) || 'i' ELSE '' END AS line FROM events""")
+def query_points(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    region, primary = F.concat(F.lit("R"), (F.col("user_id") % 3).cast("string")), F.when(F.col("user_id") % 2 == 0, True)
+    tags, fields = tm.query_point(F.lit("SELECT 1"), region, primary, F.col("value"), F.col("event_id") % 50, F.when(F.col("user_id") % 5 > 0, F.col("value") / 2))
+    return e.select("event_id", tm.line_protocol(F.lit("d1_query"), tags, fields).alias("line"))
+
+
+@query("SELECT CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS kept, 0::BIGINT AS sent FROM events")
+def error_points(spark, sf_dir):
+    tags, fields = tm.error_point(F.col("props"))
+    made = table(spark, sf_dir, "events").where("event_type = 'error'").select(tags.alias("t"), tm.line_protocol(F.lit("error"), tags, fields).alias("line"))
+    return made.agg(F.count("t").alias("kept"), F.count("line").alias("sent"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import telemetry as tm
@@ -174,3 +177,22 @@ def label_values(spark, sf_dir):
 def repeat_by_label(spark, sf_dir):
     chosen = tm.matching(samples(spark, sf_dir), {"colo": ["C1", "C2"]})
     return tm.aggregate(tm.rollup(chosen, "count", D, D, ["metric", "colo"]), "sum", ["colo"])
+
+
+def _scratch(spark) -> str:
+    """A folder below the shared one; a local one only where none is set."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/streams/{uuid.uuid4().hex}"
+
+
+def _event_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(f"WITH {SAMPLES}, {spread('samples', 6 * H, H)} SELECT t AS t_us, metric, CAST(sum(value::DECIMAL(18,2)) AS DOUBLE) AS total, CAST(count(*) AS BIGINT) AS n FROM spread GROUP BY t, metric")
+def stream_windowed_counts(spark, sf_dir):
+    stream = _event_stream(spark, sf_dir).select("ts", F.col("event_type").alias("metric"), F.col("value").cast("decimal(18,2)").alias("value"))
+    made = alerts.windowed_counts(stream, "6 hours", "1 hour", ["metric"])
+    place = _scratch(spark)
+    done = alerts.run_to_table(made, f"{place}/out", f"{place}/state")
+    return done.select(F.unix_micros("t").alias("t_us"), "metric", F.col("total").cast("double").alias("total"), "n")

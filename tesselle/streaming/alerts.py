@@ -139,3 +139,13 @@ def write_lines(points: DataFrame, path: str, checkpoint: str, environment: str
             lines.show(truncate=False)
 
     return points.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there now; its last complete state, as a written table."""
+
+    def batch(frame: DataFrame, number: int) -> None:
+        frame.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
