@@ -89,6 +89,24 @@ ORACLES: dict[str, str] = {
                string_agg('<|im_start|>' || replace(replace(role, '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || chr(10)
                           || replace(replace(text, '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
         FROM p JOIN k USING (conv_id) GROUP BY conv_id, (pos - 1) // 512""",
+    # Bytes as pairs of hexadecimal digits; windows by their MD5.
+    "op2_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2 * 399) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199, 200)) AS o FROM d)),
+        w AS (SELECT doc_id, o + i AS i, md5(substr(part, 2 * i + 1, 400)) AS k FROM (SELECT *, unnest(range(0, length(part) // 2 - 199)) AS i FROM b)),
+        twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+        hit AS (SELECT doc_id, i FROM w SEMI JOIN twice USING (k)),
+        begun AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS b FROM hit),
+        spans AS (
+            SELECT doc_id, min(i) AS a, max(i) + 200 AS z
+            FROM (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM begun) GROUP BY doc_id, span),
+        gaps AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_ FROM spans),
+        cut AS (
+            SELECT doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS head, max(z) AS z, sum(z - a) AS n, count(*) AS c
+            FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)""",
     "op8_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
