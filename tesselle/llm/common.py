@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,18 @@ class SharedTable:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of a batch that goes to Python; both sides hold a few of them at a time.
+BATCH_BYTES = 4 << 20
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow() with small batches: the session's limit by bytes is lowered and stays so."""
+    conf = df.sparkSession.conf
+    if (size := re.fullmatch(r"(\d+)b?", conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) and int(size[1]) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def settle() -> None:
     """Let the driver forget what nothing refers to, so that shuffle files of finished steps go."""
     gc.collect()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SharedTable, sliced, strings
+from .common import SharedTable, arrow_map, sliced, strings
 
 LENGTH = 2048
 #: Chunks of each half of a worker's table, about 150 bytes each.
@@ -156,7 +156,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, ranks: str | None = None, patter
                 )
 
     narrow = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text}` AS text")
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, number long")
+    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, number long")
 
 
 def plan(counts: dict[int, int], length: int = LENGTH) -> np.ndarray:
@@ -261,7 +261,7 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ranked = pieces.join(offsets, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("before")).alias("rank"))
     kind = ranked.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return arrow_map(ranked, place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sliced, strings
+from .common import arrow_map, sliced, strings
 
 MARKER = "▁"
 #: Chunks of each half of a worker's table, about 200 bytes each.
@@ -124,7 +124,7 @@ def encode_decode(
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *(n for n, _ in fields)])
 
     narrow = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text}` AS text")
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {schema}")
+    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 
 def encode_digests(docs: DataFrame, model: str) -> DataFrame:
