@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, strings, whole_text
+from .common import arrow_map, sliced, strings, whole_text
 
 #: Orders of the n-grams.
 ORDERS = (4, 5, 6)
@@ -98,11 +98,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 1.0, steps:
     """Fit on the distinct feature places of each training text."""
     if not len(rows) or labels.min() == labels.max():
         return Model(np.zeros(0, np.int64), np.zeros(0), np.inf if len(rows) and labels.min() == 1 else -np.inf)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    place = np.concatenate(rows).astype(np.int64)
-    toxic = labels[doc] == 1
-    p = np.bincount(place[toxic], minlength=1 << BITS).astype(float)
-    q = np.bincount(place[~toxic], minlength=1 << BITS).astype(float)
+    counts = np.zeros((2, 1 << BITS))  # row by row: no copy of all rows' features
+    for row, label in zip(rows, labels, strict=True):
+        counts[label][row] += 1
+    q, p = counts
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
     # How far the share among toxic texts is from the share among clean ones, in standard errors.
@@ -111,9 +110,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 1.0, steps:
     apart[p + q < 5] = 0
     places = np.sort(np.argsort(-apart, kind="stable")[:FEATURES])
     places = places[apart[places] > 2]
-    keep = np.isin(place, places)
+    column = np.full(1 << BITS, -1, np.int32)
+    column[places] = np.arange(len(places))
     x = np.zeros((len(rows), len(places)), np.float32)
-    x[doc[keep], np.searchsorted(places, place[keep])] = 1
+    for i, row in enumerate(rows):
+        own = column[row]
+        x[i, own[own >= 0]] = 1
     x *= ratio[places].astype(np.float32)
     w, b = _logistic(x, labels.astype(np.float32), penalty, steps)
     return Model(places, w * ratio[places], b)
@@ -158,9 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 blobs = [place[a:b].astype(np.uint32).tobytes() for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "label", "places"])
 
-    got = rows.mapInArrow(cut, "doc_id long, label int, places binary").toArrow().to_pydict()
-    order = np.lexsort([np.array(got["label"], int), np.array(got["doc_id"], int)])
-    return fit([np.frombuffer(got["places"][i], np.uint32) for i in order], np.array(got["label"], int)[order])
+    got = arrow_map(rows, cut, "doc_id long, label int, places binary").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    column = got.column("places")
+    return fit([np.frombuffer(column[i].as_buffer(), np.uint32) for i in range(got.num_rows)], got.column("label").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,7 +177,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(bucket(id_col, 5) == 0, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -187,4 +190,4 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
             for part in sliced(batch, text):
                 yield part.filter(pa.array(shared.value.scores(strings(part.column(at))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
