@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.curve import MAX_ZOOM, in_bounds, tile_id
+from ..functions.curve import MAX_ZOOM, in_bounds, with_tile_id
 
 #: Index entries of a bucket, about.
 BUCKET_ROWS = 100_000
@@ -89,7 +89,7 @@ def locate(requests: DataFrame, index: DataFrame, minzoom: int = 0, maxzoom: int
     lacks or a tile that no run holds; 200 otherwise.
     """
     z, x, y = F.col("z"), F.col("x"), F.col("y")
-    ids = requests.withColumn("tile_id", tile_id(z, x, y))
+    ids = with_tile_id(requests)
     found = asof_lookup(ids, index)
     hit = contains(F.col("tile_id"), F.col("entry_start_tile_id"), F.col("entry_run_length")) & z.between(minzoom, maxzoom)
     status = F.when(~in_bounds(z, x, y), 500).when(hit, 200).otherwise(404)

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 @query(f"WITH RECURSIVE {REQUESTS}, {TILE_IDS} SELECT event_id, tile_id FROM tile_ids")
 def tile_id_hilbert(spark, sf_dir):
-    return requests(spark, sf_dir).select("event_id", curve.tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"))
+    return curve.with_tile_id(requests(spark, sf_dir)).select("event_id", "tile_id")
 
 
 @query(f"WITH {REQUESTS} SELECT event_id, z, x, y FROM requests")
@@ -133,7 +133,7 @@ ASOF = f"""{REQUESTS}, {TILE_IDS},
 
 @query(f"WITH RECURSIVE {ASOF} SELECT event_id, tile_id, start_tile_id AS entry_start_tile_id, run_length AS entry_run_length FROM found")
 def tile_lookup_asof(spark, sf_dir):
-    ids = requests(spark, sf_dir).select("event_id", curve.tile_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"))
+    ids = curve.with_tile_id(requests(spark, sf_dir)).select("event_id", "tile_id")
     return lk.asof_lookup(ids, lookup_index(spark, sf_dir)).select("event_id", "tile_id", "entry_start_tile_id", "entry_run_length")
 
 

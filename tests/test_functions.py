@@ -22,6 +22,17 @@ def test_curve_vectors_and_inverse(spark):
         assert r.got == r.id and tuple(r.p) == (r.z, r.x, r.y)
 
 
+def test_both_ways_to_an_id_agree(spark):
+    import random
+
+    r = random.Random(4)
+    tiles = [(z, r.randrange(1 << z), r.randrange(1 << z)) for z in range(27) for _ in range(60)] + [(27, 0, 0), (3, 8, 0), (3, -1, 0), (None, 0, 0), (2, None, 1), (-1, 0, 0)]
+    df = spark.createDataFrame(tiles + [i[:3] for i in IDS], "z long, x long, y long").withColumn("slow", curve.tile_id(F.col("z"), F.col("x"), F.col("y")))
+    made = curve.with_tile_id(df)
+    assert made.columns == ["z", "x", "y", "slow", "tile_id"]
+    assert made.where("NOT (slow <=> tile_id)").isEmpty()
+
+
 def test_curve_is_a_bijection_of_low_zooms(spark):
     tiles = [(z, x, y) for z in range(6) for x in range(1 << z) for y in range(1 << z)]
     got = spark.createDataFrame(tiles, "z long, x long, y long").select(curve.tile_id(F.col("z"), F.col("x"), F.col("y")).alias("t")).collect()
