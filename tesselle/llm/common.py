@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -60,7 +61,23 @@ def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if (size := re.fullmatch(r"(\d+)b?", conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) and int(size[1]) > BATCH_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers wait for further tasks, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def settle() -> None:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import SharedTable, arrow_map, sliced, strings
 
 LENGTH = 2048
-#: Chunks of each half of a worker's table, about 150 bytes each.
+#: Chunks of each half of a task's table, about 150 bytes each.
 TABLE_ROWS = 200_000
 END_ID = 0
 
@@ -65,6 +65,9 @@ class WordTable:
             self.fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=found, special_tokens={})
         self.rows, self.ids, self.older = rows, {}, {}
 
+    def clear(self) -> None:
+        self.ids, self.older = {}, {}
+
     def one(self, chunk: str) -> bytes:
         if self.fast is not None and PLAIN.fullmatch(chunk):
             ids = self.fast.encode_ordinary(chunk)
@@ -137,6 +140,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, ranks: str | None = None, patter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, task = word_table(vocabulary, ranks, pattern), TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
+        table.clear()
         for batch in batches:
             for part in sliced(batch, "text"):
                 source, rows = [], []
@@ -154,6 +158,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, ranks: str | None = None, patter
                     [part.column(0).take(pa.array(source, pa.int64())), pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), pa.array(np.full(len(rows), task, np.int32)), pa.array(number)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"],
                 )
+        table.clear()
 
     narrow = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text}` AS text")
     return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, number long")

@@ -3,8 +3,8 @@
 No piece of the vocabulary holds a white-space marker after another character (this is checked
 when a model is loaded), so a merge never crosses the place where a run of markers begins. A
 text is cut there into marked words; each distinct marked word is segmented once, and the ids
-are joined back by position. A worker keeps its table between batches, emptied when full: the
-results don't depend on it.
+are joined back by position. A task keeps its table between batches, emptied by halves when full:
+the results don't depend on it.
 
 Defined cases: a null text is the empty text and has no ids; an empty table gives an empty
 result; repeated rows give repeated results; other columns are ignored.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, sliced, strings
 
 MARKER = "▁"
-#: Chunks of each half of a worker's table, about 200 bytes each.
+#: Chunks of each half of a task's table, about 200 bytes each.
 TABLE_ROWS = 200_000
 #: A run of spaces with the word behind it.
 CHUNK = re.compile(r" +[^ ]*")
@@ -71,6 +71,9 @@ class ChunkTable:
                 if decoded != chunk:
                     self.odd[chunk] = decoded
 
+    def clear(self) -> None:
+        self.ids, self.older, self.odd = {}, {}, {}
+
     def chunks(self, text: str) -> list[str]:
         """Runs of spaces, each with the word behind it; the first has the space that the library adds."""
         return CHUNK.findall(" " + text.replace(MARKER, " ")) if text else []
@@ -117,11 +120,13 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(model)
+        table.clear()
         for batch in batches:
             for part in sliced(batch, "text"):
                 rows = [row(*x) for x in table.encode(strings(part.column(1)))]
                 columns = [pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *(n for n, _ in fields)])
+        table.clear()
 
     narrow = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text}` AS text")
     return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {schema}")

@@ -26,17 +26,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTable, settle, text_buffers, text_tag, whole_text
+from .common import SharedTable, arrow_map, settle, text_buffers, text_tag, whole_text
 
 #: Bytes of a repeated string.
 STRETCH = 200
 #: Bytes of a suffix's leading token.
 LEAD = 100
 #: Windows that are hashed at a time; a longer text is taken in parts.
-PART = 1 << 20
+PART = 1 << 18
 #: One in so many texts is sampled for splitters, and so many suffixes are taken for each bucket.
 SAMPLED, OVERSAMPLE = 64, 40
 #: Bits of the map of texts that have anything to remove; more texts make it fuller, never wrong.
@@ -148,8 +149,8 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def suffixes(texts: DataFrame, stretch: int = STRETCH, lead: int = LEAD, part: int = PART) -> DataFrame:
-    """The anchors of (doc_id, tag, text): first window, number of windows, two tokens."""
+def suffixes(texts: DataFrame, stretch: int = STRETCH, lead: int = LEAD, part: int = PART, splitters: Broadcast | None = None) -> DataFrame:
+    """The anchors of (doc_id, tag, text): first window, number of windows, two tokens, bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,16 +158,18 @@ def suffixes(texts: DataFrame, stretch: int = STRETCH, lead: int = LEAD, part: i
             for data, offsets, rows, places in slices(batch.column(2), part, stretch):
                 t0, t1, text, first, n = anchors(data, offsets, stretch, lead)
                 row = rows[text]
-                yield record(doc[row], tag[row], first + places[text], n, t0, t1)
+                yield record(splitters, doc[row], tag[row], first + places[text], n, t0, t1)
 
-    return texts.mapInArrow(run, ROW)
+    return arrow_map(texts, run, f"{ROW}, bucket int")
 
 
-def record(doc, tag, lo, n, t0, t1) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag.astype(np.int32)), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(t0.view(np.int64)), pa.array(t1.view(np.int64))], names=["doc_id", "tag", "lo", "n", "t0", "t1"])
+def record(splitters, doc, tag, lo, n, t0, t1) -> pa.RecordBatch:
+    bucket = np.zeros(len(doc), np.int64) if splitters is None else bucket_of([t0, t1, tie(doc, tag, lo)], splitters.value)
+    columns = [doc, tag.astype(np.int32), lo, n.astype(np.int32), t0.view(np.int64), t1.view(np.int64), bucket.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "tag", "lo", "n", "t0", "t1", "bucket"])
 
 
-def windows(texts: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def windows(texts: DataFrame, stretch: int = STRETCH, splitters: Broadcast | None = None) -> DataFrame:
     """Every window of the suffixes ``los``, ``ns``, ``leads`` of (doc_id, tag, text), as rows of suffixes()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +193,10 @@ def windows(texts: DataFrame, stretch: int = STRETCH) -> DataFrame:
                     counts = n[k:stop].astype(np.int64)
                     start = np.repeat(lo[k:stop] - base, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                     size = len(start)
-                    yield record(np.full(size, doc[i]), np.full(size, tag[i]), start + base, np.ones(size, np.int32), hashes.of(start, start + stretch), np.repeat(lead[k:stop], counts).astype(np.int64).view(np.uint64))
+                    yield record(splitters, np.full(size, doc[i]), np.full(size, tag[i]), start + base, np.ones(size, np.int32), hashes.of(start, start + stretch), np.repeat(lead[k:stop], counts).astype(np.int64).view(np.uint64))
                     k = stop
 
-    return texts.mapInArrow(run, ROW)
+    return arrow_map(texts, run, f"{ROW}, bucket int")
 
 
 # --- buckets
@@ -249,37 +252,37 @@ def compare(t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
     return np.where(edge, 4, says)
 
 
-def sort_in_buckets(rows: DataFrame, sample: DataFrame, buckets: int) -> DataFrame:
-    """Rows of ``suffixes`` that meet an equal leading token, with ``says``; needs writing at once."""
-    drawn = sample.orderBy(F.xxhash64("t0", "t1", "doc_id", "tag", "lo")).limit(OVERSAMPLE * buckets).toArrow()  # bounded by the buckets
+def draw_splitters(sample: DataFrame, buckets: int) -> Broadcast:
+    """Tokens that begin buckets, from a sample that the number of buckets bounds."""
+    drawn = sample.orderBy(F.xxhash64("t0", "t1", "doc_id", "tag", "lo")).limit(OVERSAMPLE * buckets).toArrow()
     drawn = [ids_of(drawn.column(x).combine_chunks()) if drawn.num_rows else np.zeros(0, np.int64) for x in ("t0", "t1", "doc_id", "tag", "lo")]
     tokens = [drawn[0].view(np.uint64), drawn[1].view(np.uint64), tie(*drawn[2:])]
     order = multikey_order(tokens)
     at = order[(np.arange(1, buckets) * len(order)) // buckets] if len(order) else order
-    splitters = rows.sparkSession.sparkContext.broadcast([t[at] for t in tokens])
+    return sample.sparkSession.sparkContext.broadcast([t[at] for t in tokens])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, tag, lo, _, t0, t1 = (c.to_numpy() for c in batch.columns)
-            bucket = bucket_of([t0.view(np.uint64), t1.view(np.uint64), tie(doc, tag, lo)], splitters.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket.astype(np.int32))], names=[*batch.schema.names, "bucket"])
+
+def sort_in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows that meet an equal leading token, with ``says``; to be written at once."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if got is None or not got.num_rows:
+        batches = list(batches)
+        if not batches:
             return
+        got = pa.Table.from_batches(batches)
+        del batches
         bucket = got.column("bucket").to_numpy()
-        for b in np.unique(bucket):
-            own = got.filter(pa.array(bucket == b)) if bucket[0] != b or len(np.unique(bucket)) > 1 else got
+        got = got.drop_columns(["bucket"])
+        for b in np.unique(bucket):  # one, where the engine keeps to the numbers
+            own = got if (bucket == b).all() else got.filter(pa.array(bucket == b))
             t0, t1 = (own.column(x).to_numpy().view(np.uint64) for x in ("t0", "t1"))
             order = multikey_order([t0, t1])
             says = compare(t0[order], t1[order])
             keep = says > 0
-            out = own.take(pa.array(order[keep])).drop_columns(["bucket"]).append_column("says", pa.array(says[keep].astype(np.int8)))
-            yield from out.to_batches()
+            out = own.take(pa.array(order[keep])).append_column("says", pa.array(says[keep].astype(np.int8)))
+            yield from out.to_batches(max_chunksize=100_000)
 
-    dealt = rows.mapInArrow(deal, f"{ROW}, bucket int").repartitionById(buckets, F.col("bucket"))
-    return dealt.mapInArrow(sort, f"{ROW}, says byte")
+    return arrow_map(rows.repartitionById(buckets, F.col("bucket")), sort, f"{ROW}, says byte")
 
 
 def across(found: DataFrame) -> DataFrame:
@@ -297,6 +300,10 @@ def across(found: DataFrame) -> DataFrame:
 
 # --- from windows to texts
 
+def bits_at(words: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (words[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 class TextMap:
     """A bit for the hash of each text that a table names; of fixed size, and safe to be too full."""
 
@@ -308,17 +315,19 @@ class TextMap:
         self.words[got.column("w").to_numpy()] = got.column("m").to_numpy()
         self.bits, self.shared = bits, named.sparkSession.sparkContext.broadcast(self.words.view(np.uint64))
 
-    def select(self, rows: DataFrame, inside: bool) -> DataFrame:
-        """The rows whose doc_id and tag are in the map, or those that are not."""
-        shared, slot = self.shared, F.pmod(F.xxhash64("doc_id", "tag"), F.lit(self.bits))
+    def slot(self):
+        return F.pmod(F.xxhash64("doc_id", "tag"), F.lit(self.bits))
+
+    def select(self, rows: DataFrame) -> DataFrame:
+        """The rows whose doc_id and tag are in the map."""
+        shared = self.shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                s = batch.column(batch.num_columns - 1).to_numpy()
-                bit = (shared.value[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)
-                yield batch.filter(pa.array((bit == 1) == inside)).drop_columns(["_slot"])
+                named = bits_at(shared.value, batch.column(batch.num_columns - 1).to_numpy())
+                yield batch.filter(pa.array(named)).drop_columns(["_slot"])
 
-        return rows.withColumn("_slot", slot).mapInArrow(run, rows.schema)
+        return arrow_map(rows.withColumn("_slot", self.slot()), run, rows.schema)
 
 
 def numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -332,20 +341,19 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stretc
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = numbered(docs, id_col, text)
     few = texts.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SAMPLED)) == 0)
-    rows, sample = suffixes(texts, stretch, lead, part), suffixes(few, stretch, lead, part)
-    first = SharedTable(sort_in_buckets(rows, sample, buckets), "suffixes")
+    splitters = draw_splitters(suffixes(few, stretch, lead, part), buckets)
+    first = SharedTable(sort_in_buckets(suffixes(texts, stretch, lead, part, splitters), buckets), "suffixes")
     settle()
     level1 = SharedTable(across(first.df), "level1")
 
     opened = level1.df.where("says >= 2")
-    wanted = TextMap(opened).select(texts, True)
+    wanted = TextMap(opened).select(texts)
     lists = opened.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n", "t0")).alias("x"))  # of a text's own suffixes
     lists = lists.select("doc_id", "tag", F.col("x.lo").alias("los"), F.col("x.n").alias("ns"), F.col("x.t0").alias("leads"))
     # Rows with the same id and text have the same windows; one of them stands for all, which level 1 found repeated.
-    joined = wanted.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "los", "ns", "leads")
-    rows = windows(joined, stretch)
-    sample = windows(joined.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SAMPLED)) == 0), stretch)
-    second = SharedTable(sort_in_buckets(rows, sample, buckets), "windows")
+    joined = wanted.join(lists.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "los", "ns", "leads")
+    splitters = draw_splitters(windows(joined.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SAMPLED)) == 0), stretch), buckets)
+    second = SharedTable(sort_in_buckets(windows(joined, stretch, splitters), buckets), "windows")
     settle()
     both = level1.df.where("says % 2 = 1").unionByName(across(second.df).where("says % 2 = 1"))
     out = SharedTable(both.select("doc_id", "tag", "lo", "n"), "repeated")
@@ -355,15 +363,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stretc
     return out
 
 
-def with_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with arrays _los and _ns of the repeated stretches; null where there are none."""
+def with_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, TextMap]:
+    """The rows of ``docs`` that the map names, with arrays _los and _ns of the repeated stretches, and, with
+    a _slot, all rows again, of which apply_spans() leaves those that the map names out."""
     cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     keyed = docs.select(*cols, F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("doc_id"), text_tag(text).alias("tag"))
     names = TextMap(found)
     lists = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("x")).select("doc_id", "tag", F.col("x.lo").alias("_los"), F.col("x.n").alias("_ns"))
-    cut = names.select(keyed, True).join(lists, ["doc_id", "tag"], "left").select(*(f"c{i}" for i in range(len(docs.columns))), "_los", "_ns")
-    whole = names.select(keyed, False).select(*(f"c{i}" for i in range(len(docs.columns))), F.lit(None).cast("array<long>").alias("_los"), F.lit(None).cast("array<int>").alias("_ns"))
-    return cut.unionByName(whole)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    cut = names.select(keyed).join(lists.hint("merge"), ["doc_id", "tag"], "left").select(*own, F.lit(None).cast("long").alias("_slot"), "_los", "_ns")
+    whole = keyed.select(*own, names.slot().alias("_slot"), F.lit(None).cast("array<long>").alias("_los"), F.lit(None).cast("array<int>").alias("_ns"))
+    return cut.unionByName(whole), names
 
 
 def kept_bytes(data: np.ndarray, los: np.ndarray, ns: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, int]:
@@ -376,12 +386,16 @@ def kept_bytes(data: np.ndarray, los: np.ndarray, ns: np.ndarray, stretch: int =
     return data[~gone], spans
 
 
-def apply_spans(rows: DataFrame, docs: DataFrame, text: str, make: Callable, schema, stretch: int = STRETCH) -> DataFrame:
+def apply_spans(spanned: tuple[DataFrame, TextMap], docs: DataFrame, text: str, make: Callable, schema, stretch: int = STRETCH) -> DataFrame:
     """``make(batch, kept)`` of each batch of with_spans(); kept has (bytes, n_removed, n_spans) of each row."""
-    at = docs.columns.index(text)
+    (rows, names), at = spanned, docs.columns.index(text)
+    shared, docs_columns = names.shared, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slots = batch.column(len(docs_columns))
+            if slots.null_count < batch.num_rows:
+                batch = batch.filter(pa.array(~bits_at(shared.value, slots.to_numpy())))
             data, offsets = text_buffers(batch.column(at))
             los, ns = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             bounds, has = los.offsets.to_numpy(), los.is_valid().to_numpy(zero_copy_only=False)
@@ -396,7 +410,7 @@ def apply_spans(rows: DataFrame, docs: DataFrame, text: str, make: Callable, sch
                     kept.append((own.tobytes(), 0, 0))
             yield make(batch, kept)
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def removal_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
