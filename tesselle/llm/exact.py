@@ -66,7 +66,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     twice = gone.join(kept, gone["_id"].eqNullSafe(kept["_kid"]) & (gone["_sha"] == kept["_ksha"]), "left_semi")
     gone = gone.join(kept, gone["_id"].eqNullSafe(kept["_kid"]) & (gone["_sha"] == kept["_ksha"]), "left_anti").distinct()
     marked = docs.withColumn("_digest", text_digest(text))
-    out = marked.join(gone, marked[id_col].eqNullSafe(gone["_id"]) & (marked["_digest"] == gone["_sha"]), "left_anti")
+    out = marked.join(gone.hint("merge"), marked[id_col].eqNullSafe(gone["_id"]) & (marked["_digest"] == gone["_sha"]), "left_anti")
     if not twice.isEmpty():
         order = Window.partitionBy(id_col, "_digest").orderBy(text)
         out = out.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

@@ -67,7 +67,8 @@ def remove_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run
     cut = SharedTable(windows(docs, id_col, text, run), "line-windows").df
     found = SharedTable(runs(later_windows(cut), run), "line-runs").df.withColumnsRenamed({c: f"_{c}" for c in ("id", "tag", "starts", "ends")})
     on = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == found["_id"]) & (text_tag(text) == found["_tag"])
-    joined = docs.join(found, on, "left").withColumn("_lines", F.split(whole_text(text), "\n"))
+    # The same plan at every size: what is found grows with the documents and is never broadcast.
+    joined = docs.join(found.hint("merge"), on, "left").withColumn("_lines", F.split(whole_text(text), "\n"))
     none = F.array().cast("array<int>")
     starts, ends = F.coalesce("_starts", none), F.coalesce("_ends", none)
     joined = joined.withColumns({"_from": F.concat(F.array(F.lit(0)), ends), "_to": F.concat(starts, F.array(F.size("_lines")))})

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTable, sliced, text_buffers, text_tag
+from .common import SharedTable, arrow_map, sliced, text_buffers, text_tag
 from .graph import components, local_stars
 
 WORDS = 3
@@ -102,7 +102,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found.view(np.int64))], names=["doc_id", "tag", "fp"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), text_tag(text).alias("tag"))
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, tag int, fp long")
+    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, tag int, fp long")
 
 
 # --- the code
@@ -208,7 +208,7 @@ def replicate(nodes: DataFrame, threshold: int, crowds: dict[int, int]) -> DataF
                     names=["anchor", "role", "fp"],
                 )
 
-    return nodes.select("fp").mapInArrow(run, "anchor long, role byte, fp long")
+    return arrow_map(nodes.select("fp"), run, "anchor long, role byte, fp long")
 
 
 class Linker:
@@ -303,7 +303,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> D
         yield linker.edges()
 
     met = replicate(nodes, threshold, crowds).repartition("anchor").sortWithinPartitions("anchor", "role")
-    return met.mapInArrow(run, "u long, v long")
+    return arrow_map(met, run, "u long, v long")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
@@ -330,4 +330,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **opti
     """
     gone = grouped(docs, id_col, text, **options).where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"), F.col("tag").alias("_tag"))
     gone = SharedTable(gone.distinct(), "near").df
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (text_tag(text) == gone["_tag"]), "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_gone"]) & (text_tag(text) == gone["_tag"]), "left_anti")
