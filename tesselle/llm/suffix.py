@@ -234,11 +234,12 @@ def bucket_of(tokens: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarr
     return out
 
 
-REPEATED, OPEN, EDGE = 0, 1, 2
-
-
 def compare(t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
-    """What sorted neighbours tell of each row: REPEATED, OPEN, EDGE as bits 1, 2, 4."""
+    """What sorted neighbours tell of each row, as a sum: 1 repeated, 2 open, 4 to be settled across buckets.
+
+    In the first and last run a stretch that is met twice is repeated whatever lies beyond; one
+    row stands for it across the boundary, with 5. A row that is alone so far has 4.
+    """
     n = len(t0)
     new0 = np.concatenate([[True], t0[1:] != t0[:-1]])
     new1 = new0.copy()
@@ -249,7 +250,7 @@ def compare(t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
     several = classes[run0] > 1
     says = np.where(twice, 1, 0) | np.where(several & (~twice | new1), 2, 0)
     edge = (run0 == 0) | (run0 == run0[n - 1])
-    return np.where(edge, 4, says)
+    return np.where(edge, np.where(twice, np.where(new1, 5, 1), 4), says)
 
 
 def draw_splitters(sample: DataFrame, buckets: int) -> Broadcast:
@@ -287,8 +288,8 @@ def sort_in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
 
 def across(found: DataFrame) -> DataFrame:
     """Rows with ``says`` of 1 to 3; runs at the edges of buckets are counted over all of them."""
-    edge = found.where("says = 4")
-    classes = SharedTable(edge.groupBy("t0", "t1").agg(F.count(F.lit(1)).alias("n1"), F.min(F.struct("doc_id", "tag", "lo")).alias("first")), "classes").df
+    edge = found.where("says >= 4")
+    classes = SharedTable(edge.groupBy("t0", "t1").agg(F.sum(F.expr("1 + says % 2")).alias("n1"), F.min(F.struct("doc_id", "tag", "lo")).alias("first")), "classes").df
     runs = SharedTable(classes.groupBy("t0").agg(F.sum("n1").alias("n0"), F.count(F.lit(1)).alias("n_classes")).where("n0 > 1"), "runs").df
     known = SharedTable(classes.join(runs, "t0"), "known").df
     is_first = F.struct("doc_id", "tag", "lo") == F.col("first")
