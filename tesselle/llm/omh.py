@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTable, strings, text_tag, whole_text
+from .common import SharedTable, arrow_map, strings, text_tag, whole_text
 
 K = 8
 TUPLE = 2
@@ -145,9 +145,9 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def hexed(rows: np.ndarray) -> list[str]:
-    blob = rows.astype(">u2").tobytes().hex()
-    width = 4 * SKETCHES
+def packed(rows: np.ndarray) -> list[bytes]:
+    """Fingerprints as bytes, the signatures one after another."""
+    blob, width = rows.astype(">u2").tobytes(), 2 * SKETCHES
     return [blob[i : i + width] for i in range(0, len(blob), width)]
 
 
@@ -164,9 +164,9 @@ def result_rows(ids: list, texts: list[str], following: list[str]) -> list[pa.Ar
     return [
         ids,
         pa.array([len(t) for t in texts], pa.int64()),
-        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()),
-        pa.array(hexed(own), pa.string()),
-        pa.array(hexed(other), pa.string()),
+        pa.array([hashlib.sha256(e.encode()).digest() for e in edits], pa.binary()),
+        pa.array(packed(own), pa.binary()),
+        pa.array(packed(other), pa.binary()),
         pa.array(likeness(own, other), pa.float64()),
         pa.array(likeness(own, after), pa.float64()),
     ]
@@ -177,13 +177,13 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str =
     narrow = docs.select(F.col(id_col).alias("doc_id"), text_tag(text).alias("tag"), whole_text(text).alias("text"))
     kind = narrow.schema["doc_id"].dataType
     id_type = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
-    columns = f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    columns = f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, ids, texts, held = TaskContext.get().partitionId(), None, [], [], 0
 
         def loose(role: int, doc, text: str) -> pa.RecordBatch:
-            nulls = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            nulls = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
             return pa.RecordBatch.from_arrays([pa.array([doc], id_type), *nulls, pa.array([part], pa.int32()), pa.array([role], pa.int32()), pa.array([text], pa.string())], names=[*NAMES, "part", "role", "text"])
 
         for batch in batches:
@@ -207,7 +207,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str =
         return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(n, part, np.int32)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.string())], names=[*NAMES, "part", "role", "text"])
 
     ranged = narrow.repartitionByRange("doc_id", "tag").sortWithinPartitions("doc_id", "tag")
-    found = SharedTable(ranged.mapInArrow(run, f"{columns}, part int, role int, text string"), "order-minhash").df
+    found = SharedTable(arrow_map(ranged, run, f"{columns}, part int, role int, text string"), "order-minhash").df
     parts = sorted(r["part"] for r in found.where("role = 1").select("part").collect())  # one for each partition at most
     after = docs.sparkSession.createDataFrame([(p, q) for p, q in zip(parts, parts[1:] + parts[:1])], "part int, next int")
     heads = found.where("role = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
@@ -220,4 +220,6 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str =
                 one = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays(result_rows(one.column(0), strings(one.column(1)), strings(one.column(2))), names=NAMES)
 
-    return found.where("role = 0").select(NAMES).unionByName(pairs.mapInArrow(close, columns))
+    both = found.where("role = 0").select(NAMES).unionByName(arrow_map(pairs, close, columns))
+    text_of = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return both.withColumns(text_of)

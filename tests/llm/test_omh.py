@@ -67,7 +67,7 @@ def test_neighbours(spark):
         half = len(text) // 2
         edit = text[: len(text) - half] + following[:half]
         s = omh.signatures([text, edit, following])
-        want.append((row[0], len(text), hashlib.sha256(edit.encode()).hexdigest(), omh.hexed(s)[0], omh.hexed(s)[1], omh.likeness(s[:1], s[1:2])[0], omh.likeness(s[:1], s[2:])[0]))
+        want.append((row[0], len(text), hashlib.sha256(edit.encode()).hexdigest(), omh.packed(s)[0].hex(), omh.packed(s)[1].hex(), omh.likeness(s[:1], s[1:2])[0], omh.likeness(s[:1], s[2:])[0]))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
