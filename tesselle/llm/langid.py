@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, strings
+from .common import arrow_map, sliced, strings
 
 LANDMARKS = 48
 SAMPLE = 300
 #: Different characters that are told apart; every other one counts as the same.
 ALPHABET = 126
 RIDGE = 1e-3
+#: Parts that a language is ranked in.
+SALTS = 16
 
 
 def bucket(id_col: str) -> Column:
@@ -122,15 +124,13 @@ def fit(texts: list[str], langs: list[str], landmark: list[bool]) -> Model | Non
 def training_ids(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> DataFrame:
     """doc_id, landmark: ``sample`` rows of each language at most, by the hash of the id.
 
-    A language's share of the rows is thinned to about four samples by the hash before it is
-    ranked, so no task ranks a language's whole rows.
+    Rows are ranked in ``SALTS`` parts of each language first, then the best of all parts; a task
+    of the first step has a part of a language, one of the second ``SALTS * sample`` rows at most.
     """
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (bucket("doc_id") != 2) & F.col("text").isNotNull())
-    known = known.withColumn("h", F.xxhash64("doc_id"))
-    counts = known.groupBy("lang").count()
-    part = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    thin = known.join(counts, "lang").where((F.col("count") <= 4 * sample) | (part < 4.0 * sample / F.col("count")))
-    ranked = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    known = known.withColumn("h", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    part = known.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).where(F.col("n") <= sample)
+    ranked = part.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     return ranked.where(F.col("n") <= sample).select("doc_id", "lang", (F.col("n") <= landmarks).alias("landmark"))
 
 
@@ -157,4 +157,4 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(bucket(id_col) == 2, F.lit(False)).alias("held_out"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
