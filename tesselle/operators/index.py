@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import radix64
+from .lookup import bucket, splitters
 
 #: Bytes of a chunk, and entries of an index row.
 CHUNK_BYTES = 1_000_000
@@ -136,10 +137,19 @@ def unpack(rows: DataFrame) -> DataFrame:
     return out.select("start_tile_id", "i", (F.col("t0") + F.col("e.dt")).alias("tile_id"), (F.col("o0") + F.col("e.do")).alias("chunk_offset"), "e.length", "e.run_length", "e.chunk_id")
 
 
-def overlapping(entries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Entries whose run reaches into the next entry of the same block of positions; a sound index has none."""
-    w = Window.partitionBy(F.expr(f"pos div {block}")).orderBy("tile_id")
-    return entries.withColumn("_next", F.lead("tile_id").over(w)).where("_next < tile_id + run_length").drop("_next")
+def overlapping(entries: DataFrame, cuts: list | None = None) -> DataFrame:
+    """Entries whose run reaches into the next entry by tile id, wherever that lies; a sound index has none.
+
+    Of entries that share a tile id the one of the lower pos comes first.
+    """
+    cuts = splitters(entries, "tile_id") if cuts is None else cuts
+    ranged = entries.withColumn("_range", bucket(F.col("tile_id"), cuts))
+    # One row for each range that has entries, of as many as lookups have buckets at most.
+    firsts = ranged.groupBy("_range").agg(F.min("tile_id").alias("_first"))
+    ahead = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_ahead"))
+    w = Window.partitionBy("_range").orderBy("tile_id", "pos")
+    own = ranged.withColumn("_next", F.lead("tile_id").over(w)).join(F.broadcast(ahead), "_range")
+    return own.where("coalesce(_next, _ahead) < tile_id + run_length").drop("_range", "_next", "_ahead")
 
 
 def with_metadata(rows: DataFrame, metadata: str) -> DataFrame:

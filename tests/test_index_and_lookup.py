@@ -74,6 +74,21 @@ def test_entries_that_fall_back_are_skipped(entries):
     assert ix.boundaries(entries, block=16).count() == ix.chunks(entries).count()
 
 
+@pytest.mark.parametrize("cuts", [None, [], [1000, 4096 * 5, 4096 * 5 + 1, 4096 * 5 + 2, 30_000], [90_000]])
+def test_overlaps_across_blocks_and_far_apart(spark, cuts):
+    rows = [(i, i * 5, 1 + i % 4) for i in range(9000)]
+    rows[4095] = (4095, 4095 * 5, 6)  # into the first entry behind position 4095
+    rows[3999] = (3999, 3999 * 5, 1001)  # into the next one and many more
+    rows += [(20_000, 35, 1), (30_000, 57, 1), (40_000, 5001, 9)]  # a repeated id, one inside a run, one that reaches on
+    r = random.Random(2)
+    r.shuffle(rows)
+    order = sorted((t, p, n) for p, t, n in rows)
+    want = sorted(p for (t, p, n), (after, *_) in zip(order, order[1:]) if after < t + n)
+    got = ix.overlapping(spark.createDataFrame(rows, "pos long, tile_id long, run_length long"), **({} if cuts is None else {"cuts": cuts}))
+    assert got.columns == ["pos", "tile_id", "run_length"]
+    assert sorted(x.pos for x in got.collect()) == want and {7, 11, 3999, 4095, 40_000} <= set(want)
+
+
 def brute(keys, index):
     starts = [s for s, _ in index]
     return [index[bisect_right(starts, k) - 1] if k is not None and starts and k >= starts[0] else None for k in keys]
