@@ -160,7 +160,7 @@ def object_ranges(spark, sf_dir):
     from .derive import entries
 
     e = entries(spark, sf_dir)
-    r = ix.relative(e, ix.chunks(e)).where("tile_id % 35 = 0")
+    r = ix.relative(e, ix.chunks(e))
     return r.select("tile_id", F.format_string("chunk_%d.pmtiles", "chunk_id").alias("object"), F.col("chunk_offset").alias("first_byte"), (F.col("chunk_offset") + F.col("length") - 1).alias("last_byte"))
 
 

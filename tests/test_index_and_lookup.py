@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselle.operators import index as ix
 from tesselle.operators import lookup as lk
+from tesselle.plans import lookup_queries
 
 
 def entry_rows(n=400, seed=0):
@@ -138,3 +139,16 @@ def test_metadata_row_and_point_lookup(spark):
     both = ix.with_metadata(rows, "{}")
     assert ix.metadata_row(both).collect() == [(-1, "{}")]
     assert lk.point_lookup(rows, 8).first().entry == "a" and lk.point_lookup(rows, 4).isEmpty()
+
+
+def test_every_entry_has_its_object_and_byte_range(spark, tmp_path):
+    r = random.Random(4)
+    orders = [(k, float(r.randint(1, 400_000)) + 0.5) for k in sorted(r.sample(range(1, 12_000), 300))]
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    offset, starts, want = 0, {}, []
+    for k, price in orders:
+        chunk, length = offset // ix.CHUNK_BYTES, int(price)
+        first = offset - starts.setdefault(chunk, offset)
+        want.append((k * 5, f"chunk_{chunk}.pmtiles", first, first + length - 1))
+        offset += length
+    assert sorted(map(tuple, lookup_queries.object_ranges(spark, str(tmp_path)).collect())) == want
