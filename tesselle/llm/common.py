@@ -98,8 +98,12 @@ def whole_text(col: str = "text") -> Column:
 
 
 def text_tag(col: str = "text") -> Column:
-    """32 bits of the text. With the id it names a row; rows that share both are the same document."""
-    return F.hash(whole_text(col))
+    """64 bits of the text, of two hashes. With the id it names a row; rows that share both are the same document.
+
+    The first 32 bits, which decide the order, are those of hash(); the others are of xxhash64().
+    """
+    text = whole_text(col)
+    return F.shiftleft(F.hash(text).cast("long"), 32).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def sliced(batch: pa.RecordBatch, text: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:

@@ -102,7 +102,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found.view(np.int64))], names=["doc_id", "tag", "fp"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), text_tag(text).alias("tag"))
-    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, tag int, fp long")
+    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, tag long, fp long")
 
 
 # --- the code

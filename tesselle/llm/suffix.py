@@ -142,7 +142,7 @@ def tie(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed(doc.view(np.uint64) * BASE ^ mixed(tag.astype(np.uint64) << np.uint64(40) ^ at.astype(np.uint64)))
 
 
-ROW = "doc_id long, tag int, lo long, n int, t0 long, t1 long"
+ROW = "doc_id long, tag long, lo long, n int, t0 long, t1 long"
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
@@ -165,7 +165,7 @@ def suffixes(texts: DataFrame, stretch: int = STRETCH, lead: int = LEAD, part: i
 
 def record(splitters, doc, tag, lo, n, t0, t1) -> pa.RecordBatch:
     bucket = np.zeros(len(doc), np.int64) if splitters is None else bucket_of([t0, t1, tie(doc, tag, lo)], splitters.value)
-    columns = [doc, tag.astype(np.int32), lo, n.astype(np.int32), t0.view(np.int64), t1.view(np.int64), bucket.astype(np.int32)]
+    columns = [doc, tag.astype(np.int64), lo, n.astype(np.int32), t0.view(np.int64), t1.view(np.int64), bucket.astype(np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "tag", "lo", "n", "t0", "t1", "bucket"])
 
 
