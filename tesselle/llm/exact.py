@@ -1,14 +1,15 @@
 """Exact deduplication with a heavy-hitter split, in built-in DataFrame operations only.
 
 Texts are equal when they are identical after each run of white space became one space.
-A Misra-Gries summary (Spark's ``approx_top_k`` keeps the frequent-items sketch of that
+A Misra-Gries summary (Spark's ``approx_top_k`` functions keep the frequent-items sketch of that
 family) names the digests that may be frequent; their counts are then verified exactly.
 The verified winners, at most ``max_winners`` rows, are broadcast and settled on the map
 side; every other digest is shared by a small part of the rows only and is shuffled.
 
 Defined cases: a null text is the empty text. Of rows with equal text the smallest doc_id
 stays, a null doc_id only where all are null; rows that also share the doc_id count as copies
-and just one of them stays. An empty table gives an empty result. Other columns are ignored.
+and just one of them stays. A text of any length is one digest. An empty table gives an empty result.
+Other columns are ignored, or kept by ``drop_copies``.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SharedTable, whole_text
+from .common import SPACE, SharedTable, one_of_each, row_key, whole_text
 
 #: At most so many digests are settled by a broadcast: 1024 rows of about 120 bytes.
 MAX_WINNERS = 1024
 #: Counters of a Misra-Gries summary. A digest with over a 1/12,000 of the rows can't be missed.
 TRACKED = 16384
+#: Groups that summaries are merged in, the square of it at first.
+SALTS = 32
 
 
 def text_digest(text: str = "text"):
@@ -29,45 +32,46 @@ def text_digest(text: str = "text"):
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), text_digest(text).alias("text_sha256"))
+    return docs.select(F.col(id_col).alias("doc_id"), text_digest(text).alias("text_sha256"), *row_key(id_col, text))
 
 
-def group_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_winners: int = MAX_WINNERS, tracked: int = TRACKED) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = digests(docs, id_col, text).withColumn("row", F.monotonically_increasing_id())
-    rows = SharedTable(rows, "digests").df  # three passes read 50 bytes a document instead of its text
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+def frequent(rows: DataFrame, max_winners: int = MAX_WINNERS, tracked: int = TRACKED, salts: int = SALTS) -> DataFrame:
+    """text_sha256 of digests that may be frequent, ``max_winners`` at most.
+
+    Summaries of the tasks are merged in three steps, so that no reducer meets those of all tasks.
+    """
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts * salts)).alias("salt")
+    some = rows.select("text_sha256", salt).groupBy("salt").agg(F.expr(f"approx_top_k_accumulate(text_sha256, {tracked})").alias("s"))
+    some = some.groupBy(F.expr(f"salt div {salts}").alias("salt")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
+    top = some.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {max_winners})").alias("top"))
+    return top.select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256"))
 
-    frequent = rows.agg(F.expr(f"approx_top_k(text_sha256, {max_winners}, {tracked})").alias("top"))
-    frequent = frequent.select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256"))
-    winners = rows.join(F.broadcast(frequent), "text_sha256").groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size"))
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_winners: int = MAX_WINNERS, tracked: int = TRACKED) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, k0, k1, row, text_sha256, first (of its group), group_size."""
+    rows = digests(docs, id_col, text).withColumn("row", F.monotonically_increasing_id())
+    rows = SharedTable(rows, "digests").df  # three passes read 70 bytes a document instead of its text
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    known = SharedTable(frequent(rows, max_winners, tracked), "frequent")
+    winners = rows.join(F.broadcast(known.df), "text_sha256").groupBy("text_sha256").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("group_size"))
     winners = SharedTable(winners.where("group_size > 1"), "winners").df
+    known.drop()
 
     heavy = rows.join(F.broadcast(winners), "text_sha256")
     group = Window.partitionBy("text_sha256")
     light = rows.join(F.broadcast(winners), "text_sha256", "left_anti")
-    light = light.withColumns({"first": F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).over(group), "group_size": F.count(F.lit(1)).over(group)})
-    both = heavy.select(light.columns).unionByName(light)
-    return both.select(
-        "doc_id",
-        F.col("first.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("first.row")).alias("kept"),
-        "text_sha256",
-    )
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    light = light.withColumns({"first": F.min(place).over(group), "group_size": F.count(F.lit(1)).over(group)})
+    return heavy.select(light.columns).unionByName(light)
+
+
+def group_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    kept = F.col("row") == F.col("first.row")
+    return grouped(docs, id_col, text, **options).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    found = SharedTable(group_copies(docs, id_col, text), "copies").df
-    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    kept = found.where("kept").select(F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha"))
-    # A row that stays may share its id and text with rows that go: those are cut by a second step, where there are any.
-    twice = gone.join(kept, gone["_id"].eqNullSafe(kept["_kid"]) & (gone["_sha"] == kept["_ksha"]), "left_semi")
-    gone = gone.join(kept, gone["_id"].eqNullSafe(kept["_kid"]) & (gone["_sha"] == kept["_ksha"]), "left_anti").distinct()
-    marked = docs.withColumn("_digest", text_digest(text))
-    out = marked.join(gone.hint("merge"), marked[id_col].eqNullSafe(gone["_id"]) & (marked["_digest"] == gone["_sha"]), "left_anti")
-    if not twice.isEmpty():
-        order = Window.partitionBy(id_col, "_digest").orderBy(text)
-        out = out.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return out.drop("_digest")
+    found = grouped(docs, id_col, text, **options)
+    keys = found.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("row") == F.col("first.row")).alias("kept"))
+    return one_of_each(docs, SharedTable(keys.where("kept").select("k0", "k1", "n"), "copies").df, id_col, text)

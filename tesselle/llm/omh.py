@@ -12,8 +12,10 @@ last document of a task meets the first one of the next task in a second, small
 
 Defined cases: a null text is the empty text, whose fingerprint is all zeros and like itself
 only. A text shorter than k is one k-mer. Rows with a null doc_id come first, rows that share an
-id are in the order of a hash of their texts. A single row is its own next document. Equal texts
-have equal fingerprints. An empty table gives an empty result.
+id are in the order of their keys, 120 bits of a SHA-256 of id and text. A single row is its own next
+document. Equal texts have equal fingerprints. Texts are worked on in runs of 400,000 code points, a
+longer text alone, in memory that is in proportion to it. An empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTable, arrow_map, strings, text_tag, whole_text
+from .common import SharedTable, arrow_map, row_key, strings, whole_text
 
 K = 8
 TUPLE = 2
@@ -174,7 +176,7 @@ def result_rows(ids: list, texts: list[str], following: list[str]) -> list[pa.Ar
 
 def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of NAMES for each row of ``docs``."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), text_tag(text).alias("tag"), whole_text(text).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), whole_text(text).alias("text"), *row_key(id_col, text))
     kind = narrow.schema["doc_id"].dataType
     id_type = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
     columns = f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
@@ -187,7 +189,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str =
             return pa.RecordBatch.from_arrays([pa.array([doc], id_type), *nulls, pa.array([part], pa.int32()), pa.array([role], pa.int32()), pa.array([text], pa.string())], names=[*NAMES, "part", "role", "text"])
 
         for batch in batches:
-            for doc, one in zip(batch.column(0).to_pylist(), strings(batch.column(2))):
+            for doc, one in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
                 if first is None:
                     first = (doc, one)
                 ids.append(doc)
@@ -206,7 +208,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str =
         n = len(arrays[0])
         return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(n, part, np.int32)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.string())], names=[*NAMES, "part", "role", "text"])
 
-    ranged = narrow.repartitionByRange("doc_id", "tag").sortWithinPartitions("doc_id", "tag")
+    ranged = narrow.repartitionByRange("doc_id", "k0", "k1").sortWithinPartitions("doc_id", "k0", "k1")
     found = SharedTable(arrow_map(ranged, run, f"{columns}, part int, role int, text string"), "order-minhash").df
     parts = sorted(r["part"] for r in found.where("role = 1").select("part").collect())  # one for each partition at most
     after = docs.sparkSession.createDataFrame([(p, q) for p, q in zip(parts, parts[1:] + parts[:1])], "part int, next int")

@@ -14,8 +14,10 @@ to each of which its homes go; the sample sets the balance and not the result. A
 stars, and their components are found by contraction.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, which is
-linked like any other. Rows with equal texts share a component. A component whose rows all have
-a null doc_id has the null id. An empty table gives an empty result.
+linked like any other. Rows with equal texts share a component, also where they share ids. A
+component whose rows all have a null doc_id has the null id. Texts are hashed a shingle at a time in
+runs of about 2 MB; a longer text alone, with 8 bytes for each of its shingles. An empty table gives
+an empty result; other columns are kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTable, arrow_map, sliced, text_buffers, text_tag
+from .common import SharedTable, arrow_map, one_of_each, row_key, sliced, text_buffers
 from .graph import components, local_stars
 
 WORDS = 3
@@ -91,7 +93,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, tag (of the text) and the fingerprint as a signed long."""
+    """doc_id, k0 and k1 (the row's key) and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +101,10 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
                 data, ends = text_buffers(part.column(1))
                 blob = data.tobytes()
                 found = fingerprints([blob[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())], words)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found.view(np.int64))], names=["doc_id", "tag", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(found.view(np.int64))], names=["doc_id", "k0", "k1", "fp"])
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), text_tag(text).alias("tag"))
-    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, tag long, fp long")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *row_key(id_col, text))
+    return arrow_map(narrow, run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, k0 long, k1 long, fp long")
 
 
 # --- the code
@@ -307,14 +309,16 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> D
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
-    """doc_id, tag, fp, component_id of each row of ``docs``."""
+    """doc_id, k0, k1, fp, component_id and root (a fingerprint that names the component) of each row of ``docs``."""
     rows = SharedTable(fingerprint_rows(docs, id_col, text, words), "fingerprints").df
     nodes = SharedTable(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct").df
-    edges = SharedTable(links(nodes, threshold, crowd), "links").df
-    roots = SharedTable(components(edges).withColumnRenamed("node", "fp"), "roots").df
-    known = SharedTable(nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "known").df
+    edges = SharedTable(links(nodes, threshold, crowd), "links")
+    roots = SharedTable(components(edges.df).withColumnRenamed("node", "fp"), "roots")
+    known = SharedTable(nodes.join(roots.df, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "known").df
+    edges.drop()
+    roots.drop()
     least = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = SharedTable(known.join(least, "root").select("fp", "component_id"), "ids").df
+    ids = SharedTable(known.join(least, "root").select("fp", "root", "component_id"), "ids").df
     return rows.join(ids, "fp")
 
 
@@ -324,10 +328,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **o
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is that of their group, with all their columns; the others go.
-
-    Rows that share the group's id all stay, as do all rows of a group without any id.
-    """
-    gone = grouped(docs, id_col, text, **options).where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"), F.col("tag").alias("_tag"))
-    gone = SharedTable(gone.distinct(), "near").df
-    return docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_gone"]) & (text_tag(text) == gone["_tag"]), "left_anti")
+    """One row of each group, with all columns: that of the least id, null ids last, and of the least key where
+    rows share the id. Of rows that share id and text one stays."""
+    rows = grouped(docs, id_col, text, **options)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1")
+    stay = rows.groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.k0").alias("k0"), F.col("first.k1").alias("k1"))
+    counts = rows.select("k0", "k1").join(stay.hint("merge"), ["k0", "k1"], "left_semi").groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n"))
+    counts = SharedTable(counts, "near").df
+    return one_of_each(docs, counts, id_col, text)

@@ -1,22 +1,25 @@
 """Removal of repeated byte strings by a sparse suffix array in sampled buckets.
 
 Every byte goes that a string of 200 bytes covers which also starts anywhere else. The suffixes
-that are sorted are those at anchors: of each window of 200 bytes the place of the least hash of
-100 bytes. Equal windows have equal anchors, so a window that is repeated is found through its
-own anchor, whichever the texts around it. A suffix is held as tokens: the hash of its leading
-100 bytes, then the hash of the whole stretch that its windows cover.
-
-Level 1: splitters sampled from some texts deal the suffixes to buckets by leading tokens, and
-on a tie by text and place, so that a run of any length spreads over buckets. A bucket sorts its
-suffixes by multikey quicksort, token by token within ties, and compares neighbours. A stretch
-met twice is repeated whole. A suffix that shares only its leading token goes to level 2, with
-one partner of each other stretch. The first and last run of each bucket are compared across the
-boundaries, by counts of their tokens over all buckets. Level 2 does the same with every window
-of what was left, and tells the single windows that are repeated.
+that are sorted are those at anchors: of each window of 200 bytes the place whose 32 bytes have
+the least hash. Equal windows have their anchors at the same place, so a window that is repeated
+is found through its own anchor, whichever the texts around it. An anchor goes on its way with the
+bytes of all windows that have it.
+
+Splitters sampled from some texts deal the suffixes to buckets by their leading 8-byte tokens.
+Suffixes with the same lead are in one bucket, but for a lead that fills buckets, which is split
+further and settled across them. A bucket arrives in the order of the first token and is taken in
+blocks of bounded size. A block is sorted by a three-way multikey quicksort, from the anchor on and,
+within equal leads, once more from the anchor back. The common prefixes of neighbours in the two
+orders tell for each distance from the anchor which windows are equal, byte for byte.
+
+Where a lead goes on in another block or bucket, each different window of it is sent to a second
+step under a 128-bit BLAKE2 digest, one for each block, and those that meet there are repeated.
 
 Defined cases: a null text is the empty text. Each row is a text of its own, also where rows
 share id and text: those repeat each other. An empty table gives an empty result. The spans are
-judged on the input. Two 64-bit hashes stand for the bytes of a window (its own and its lead's).
+judged on the input. A very long text is taken in parts that overlap. Strings that a period
+repeats within a part are found there, and one of each goes on.
 """
 
 from __future__ import annotations
@@ -30,16 +33,20 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTable, arrow_map, settle, text_buffers, text_tag, whole_text
+from .common import SharedTable, arrow_map, fresh, row_key, settle, text_buffers, whole_text
 
 #: Bytes of a repeated string.
 STRETCH = 200
-#: Bytes of a suffix's leading token.
-LEAD = 100
+#: Bytes that an anchor is chosen by.
+LEAD = 32
 #: Windows that are hashed at a time; a longer text is taken in parts.
 PART = 1 << 18
-#: One in so many texts is sampled for splitters, and so many suffixes are taken for each bucket.
+#: One in so many texts is sampled for splitters, and so many suffixes are drawn for each bucket.
 SAMPLED, OVERSAMPLE = 64, 40
+#: Bytes of a bucket, about, and buckets at most: beyond that they grow, and are read in more blocks.
+BUCKET_BYTES, MAX_BUCKETS = 16 << 20, 20_000
+#: Bytes that are sorted in memory at a time.
+BLOCK_BYTES = 24 << 20
 #: Bits of the map of texts that have anything to remove; more texts make it fuller, never wrong.
 MAP_BITS = 1 << 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -92,9 +99,10 @@ def window_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, stretch: int = STRETCH, lead: int = LEAD):
-    """(lead hash, extended hash, text number, first window, windows) of every anchor."""
+    """(anchor, text number, first window, windows) of every anchor, and of the windows known to be
+    repeated (text number, first window, windows)."""
     if len(data) < stretch:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, np.int64) for _ in range(4)), tuple(np.zeros(0, np.int64) for _ in range(3))
     hashes = Hashes(data)
     leads = hashes.every(lead)
     keys = (leads & ~PLACE) | (PLACE - np.arange(len(leads), dtype=np.uint64))
@@ -114,10 +122,46 @@ def anchors(data: np.ndarray, offsets: np.ndarray, stretch: int = STRETCH, lead:
     first = np.flatnonzero(change)
     last = np.concatenate([first[1:], [len(least)]]) - 1
     ok = inside[first]
-    first, last = first[ok], last[ok]
+    first, n = first[ok], (last - first + 1)[ok]
     at = (PLACE - (least[first] & PLACE)).astype(np.int64)
-    text = np.searchsorted(offsets, first, "right") - 1
-    return leads[at], hashes.of(first, last + stretch), text, first - offsets[text], last - first + 1
+    found = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    again = leads[at[1:]] == leads[at[:-1]]
+    if again.any():  # neighbours with one lead: a period, perhaps
+        near = np.zeros(len(at), bool)
+        near[1:] |= again
+        near[:-1] |= again
+        (at, first, n), found = without_periods(data, hashes, at, first, n, near, stretch)
+    text_of = lambda x: np.searchsorted(offsets, x, "right") - 1
+    return (at, text_of(first), first, n), (text_of(found[0]), *found)
+
+
+def expanded(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on, n of each."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def runs_of(x: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, length) of the runs of consecutive numbers that also begin anew where ``new`` says."""
+    begins = np.ones(len(x), bool)
+    begins[1:] = new[1:] | (x[1:] != x[:-1] + 1)
+    at = np.flatnonzero(begins)
+    return x[at], np.diff(np.append(at, len(x)))
+
+
+def without_periods(data, hashes, at, first, n, near, stretch):
+    """The anchors with one of each window that occurs twice among those ``near``, and all such windows."""
+    start, owner = expanded(first[near], n[near]), np.repeat(np.flatnonzero(near), n[near])
+    _, where, inverse, counts = np.unique(hashes.of(start, start + stretch), return_index=True, return_inverse=True, return_counts=True)
+    twice, head = counts[inverse] > 1, where[inverse]
+    view = np.lib.stride_tricks.sliding_window_view(data, stretch)
+    for some in np.array_split(np.flatnonzero(twice), max(1, int(twice.sum()) // 10_000)):
+        differs = (view[start[some]] != view[start[head[some]]]).any(axis=1)  # equal hashes of different bytes
+        twice[np.isin(inverse, inverse[some[differs]])] = False
+    keep = ~twice | (head == np.arange(len(start)))
+    first_kept, n_kept = runs_of(start[keep], np.concatenate([[True], owner[keep][1:] != owner[keep][:-1]]))
+    of = owner[np.searchsorted(start, first_kept)]
+    found = runs_of(start[twice], np.isin(start[twice], first))
+    return [np.concatenate(x) for x in ((at[~near], at[of]), (first[~near], first_kept), (n[~near], n_kept))], found
 
 
 # --- suffixes at anchors
@@ -138,165 +182,309 @@ def slices(column: pa.Array, part: int = PART, stretch: int = STRETCH) -> Iterat
         row = stop
 
 
-def tie(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return mixed(doc.view(np.uint64) * BASE ^ mixed(tag.astype(np.uint64) << np.uint64(40) ^ at.astype(np.uint64)))
+def tokens(data: np.ndarray, hashes: Hashes, at, first, n, k0, place, stretch: int, lead: int) -> list[np.ndarray]:
+    """The leading 8-byte words of each suffix, and for leads that fill buckets hashes of its bytes and of its place."""
+    words = np.lib.stride_tricks.sliding_window_view(data, 8)
+    out = [words[at + 8 * i].view(">u8").ravel().astype(np.uint64) for i in range(max(1, lead // 8))]
+    return [*out, hashes.of(first, first + n + stretch - 1), mixed(k0.view(np.uint64) * BASE ^ place.astype(np.uint64))]
 
 
-ROW = "doc_id long, tag long, lo long, n int, t0 long, t1 long"
+def binary(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    ends = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(length, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[expanded(start, length)])])
 
 
-def ids_of(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False)
+SUFFIX = "k0 long, k1 long, lo long, n int, back int, w0 long, bytes binary, bucket int"
 
 
-def suffixes(texts: DataFrame, stretch: int = STRETCH, lead: int = LEAD, part: int = PART, splitters: Broadcast | None = None) -> DataFrame:
-    """The anchors of (doc_id, tag, text): first window, number of windows, two tokens, bucket."""
+def suffixes(texts: DataFrame, splitters: Broadcast, stretch: int = STRETCH, lead: int = LEAD, part: int = PART) -> DataFrame:
+    """The anchors of (k0, k1, text): first window, number of windows, distance from the first window's
+    start to the anchor, first token, bytes, bucket. Windows known to be repeated have no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = splitters.value[0]
         for batch in batches:
-            doc, tag = ids_of(batch.column(0)), batch.column(1).to_numpy()
+            k0, k1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for data, offsets, rows, places in slices(batch.column(2), part, stretch):
-                t0, t1, text, first, n = anchors(data, offsets, stretch, lead)
-                row = rows[text]
-                yield record(splitters, doc[row], tag[row], first + places[text], n, t0, t1)
-
-    return arrow_map(texts, run, f"{ROW}, bucket int")
-
-
-def record(splitters, doc, tag, lo, n, t0, t1) -> pa.RecordBatch:
-    bucket = np.zeros(len(doc), np.int64) if splitters is None else bucket_of([t0, t1, tie(doc, tag, lo)], splitters.value)
-    columns = [doc, tag.astype(np.int64), lo, n.astype(np.int32), t0.view(np.int64), t1.view(np.int64), bucket.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "tag", "lo", "n", "t0", "t1", "bucket"])
-
-
-def windows(texts: DataFrame, stretch: int = STRETCH, splitters: Broadcast | None = None) -> DataFrame:
-    """Every window of the suffixes ``los``, ``ns``, ``leads`` of (doc_id, tag, text), as rows of suffixes()."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, tag = ids_of(batch.column(0)), batch.column(1).to_numpy()
-            data, offsets = text_buffers(batch.column(2))
-            lists = [batch.column(i) for i in (3, 4, 5)]
-            bounds = lists[0].offsets.to_numpy()
-            los, ns, leads = (x.values.to_numpy() for x in lists)
-            for i in range(batch.num_rows):
-                a, b = bounds[i], bounds[i + 1]
-                own = data[offsets[i] : offsets[i + 1]]
-                order = np.argsort(los[a:b], kind="stable")
-                lo, n, lead = (x[a:b][order] for x in (los, ns, leads))
-                k = 0
-                while k < len(lo):  # a part of the text at a time
-                    base = lo[k]
-                    stop = max(k + 1, int(np.searchsorted(lo, base + PART)))
-                    end = int((lo[k:stop] + n[k:stop]).max()) + stretch - 1
-                    hashes = Hashes(own[base:end])
-                    counts = n[k:stop].astype(np.int64)
-                    start = np.repeat(lo[k:stop] - base, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                    size = len(start)
-                    yield record(splitters, np.full(size, doc[i]), np.full(size, tag[i]), start + base, np.ones(size, np.int32), hashes.of(start, start + stretch), np.repeat(lead[k:stop], counts).astype(np.int64).view(np.uint64))
-                    k = stop
-
-    return arrow_map(texts, run, f"{ROW}, bucket int")
-
-
-# --- buckets
-
-def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
-    """Order by several tokens: a quicksort by the first, then each run of ties by the next."""
-    order = np.argsort(tokens[0], kind="quicksort")
-    run = None  # number of each row's run of ties
-    for depth in range(1, len(tokens)):
-        previous = tokens[depth - 1][order]
-        new = np.concatenate([[True], previous[1:] != previous[:-1]]) if len(order) else np.zeros(0, bool)
-        if run is not None and len(order):
-            new[1:] |= run[1:] != run[:-1]
-        run = np.cumsum(new)
-        size = np.bincount(run)
-        tied = np.flatnonzero(size[run] > 1)
-        if not len(tied):
-            break
-        inner = np.lexsort([tokens[depth][order[tied]], run[tied]])
-        order[tied] = order[tied][inner]
-    return order
-
-
-def bucket_of(tokens: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
+                (at, text, first, n), (f_text, f_first, f_n) = anchors(data, offsets, stretch, lead)
+                if not len(at):
+                    continue
+                row, low = rows[text], first - offsets[text] + places[text]
+                t = tokens(data, Hashes(data), at, first, n, k0[row], low, stretch, lead)
+                own = [k0[row], k1[row], low, n, at - first, t[0].view(np.int64)]
+                row, low, none = rows[f_text], f_first - offsets[f_text] + places[f_text], np.zeros(len(f_text), np.int64)
+                known = [k0[row], k1[row], low, f_n, none, none]
+                columns = [np.concatenate(x) for x in zip(own, known)]
+                columns[3], columns[4] = columns[3].astype(np.int32), columns[4].astype(np.int32)
+                bytes_ = pa.concat_arrays([binary(data, first, n + stretch - 1), pa.nulls(len(f_text), pa.binary())])
+                bucket = np.concatenate([bucket_of(t, cuts), none]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), bytes_, pa.array(bucket)], names=[f.split(" ")[0] for f in SUFFIX.split(", ")])
+
+    return arrow_map(texts, run, SUFFIX)
+
+
+# --- splitters
+
+def bucket_of(rows: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
     """The number of splitters that are not above each row, comparing token by token."""
-    low, high = np.searchsorted(splitters[0], tokens[0], "left"), np.searchsorted(splitters[0], tokens[0], "right")
-    if len(tokens) == 1:
+    low, high = np.searchsorted(splitters[0], rows[0], "left"), np.searchsorted(splitters[0], rows[0], "right")
+    if len(rows) == 1:
         return high
     out = low.copy()
     unsure = np.flatnonzero(high > low)
     for first in np.unique(low[unsure]):  # a leading token that is itself a splitter
-        rows = unsure[low[unsure] == first]
-        last = high[rows[0]]
-        out[rows] = first + bucket_of([t[rows] for t in tokens[1:]], [s[first:last] for s in splitters[1:]])
+        some = unsure[low[unsure] == first]
+        last = high[some[0]]
+        out[some] = first + bucket_of([t[some] for t in rows[1:]], [s[first:last] for s in splitters[1:]])
     return out
 
 
-def compare(t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
-    """What sorted neighbours tell of each row, as a sum: 1 repeated, 2 open, 4 to be settled across buckets.
+def choose_splitters(drawn: list[np.ndarray], buckets: int, lead_words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(splitters, first tokens of leads that are split): quantiles of the drawn rows.
+
+    A lead that is one splitter's only is not split: its other tokens are set to the least.
+    """
+    m = len(drawn[0])
+    order = multikey_quicksort(np.stack(drawn, axis=1)) if m else np.zeros(0, np.int64)
+    at = order[np.unique((np.arange(1, buckets) * m) // buckets)] if m else order
+    cuts = [t[at] for t in drawn]
+    same = np.ones(max(0, len(at) - 1), bool)
+    for t in cuts[:lead_words]:
+        same &= t[1:] == t[:-1]
+    split = np.zeros(len(at), bool)
+    split[1:] |= same
+    split[:-1] |= same
+    for t in cuts[lead_words:]:
+        t[~split] = 0
+    return cuts, np.unique(cuts[0][split])
+
+
+def draw_splitters(texts: DataFrame, total: int, stretch: int, lead: int, part: int, buckets: int | None) -> tuple[Broadcast, int]:
+    """Splitters and the number of buckets, for ``total`` bytes of text. The driver gets about
+    OVERSAMPLE rows for each bucket, of MAX_BUCKETS at most."""
+    per_anchor = (stretch - lead + 2) / 2  # windows, in the mean over random bytes
+    if buckets is None:
+        buckets = int(min(MAX_BUCKETS, max(1, total * (per_anchor + stretch - 1) / per_anchor // BUCKET_BYTES)))
+    words = max(1, lead // 8)
+    names = [f"t{i}" for i in range(words + 2)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k0 = batch.column(0).to_numpy()
+            for data, offsets, rows, places in slices(batch.column(2), part, stretch):
+                (at, text, first, n), _ = anchors(data, offsets, stretch, lead)
+                if len(at):
+                    t = tokens(data, Hashes(data), at, first, n, k0[rows[text]], first - offsets[text] + places[text], stretch, lead)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in t], names=names)
+
+    drawn = [np.zeros(0, np.uint64) for _ in names]
+    if buckets > 1:
+        few = texts.where(F.pmod("k1", F.lit(SAMPLED)) == 0)
+        share = min(1.0, OVERSAMPLE * buckets * SAMPLED * per_anchor / max(1, total))
+        found = arrow_map(few, run, ", ".join(f"{n} long" for n in names)).where(F.pmod(F.xxhash64(*names), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).toArrow()
+        drawn = [found.column(x).to_numpy().view(np.uint64) if found.num_rows else d for x, d in zip(names, drawn)]
+    return texts.sparkSession.sparkContext.broadcast(choose_splitters(drawn, buckets, words)), buckets
+
+
+# --- blocks
+
+def multikey_quicksort(words: np.ndarray) -> np.ndarray:
+    """Order of rows of 64-bit words: three-way partitions of all open segments at once.
 
-    In the first and last run a stretch that is met twice is repeated whatever lies beyond; one
-    row stands for it across the boundary, with 5. A row that is alone so far has 4.
+    A segment is split at a pivot, the median of three, by the word at its depth: what is less or
+    greater stays at that depth, what is equal goes on to the next word.
     """
-    n = len(t0)
-    new0 = np.concatenate([[True], t0[1:] != t0[:-1]])
-    new1 = new0.copy()
-    new1[1:] |= t1[1:] != t1[:-1]
-    run0, run1 = np.cumsum(new0) - 1, np.cumsum(new1) - 1
-    classes = np.bincount(run0[new1])
-    twice = np.bincount(run1)[run1] > 1
-    several = classes[run0] > 1
-    says = np.where(twice, 1, 0) | np.where(several & (~twice | new1), 2, 0)
-    edge = (run0 == 0) | (run0 == run0[n - 1])
-    return np.where(edge, np.where(twice, np.where(new1, 5, 1), 4), says)
-
-
-def draw_splitters(sample: DataFrame, buckets: int) -> Broadcast:
-    """Tokens that begin buckets, from a sample that the number of buckets bounds."""
-    drawn = sample.orderBy(F.xxhash64("t0", "t1", "doc_id", "tag", "lo")).limit(OVERSAMPLE * buckets).toArrow()
-    drawn = [ids_of(drawn.column(x).combine_chunks()) if drawn.num_rows else np.zeros(0, np.int64) for x in ("t0", "t1", "doc_id", "tag", "lo")]
-    tokens = [drawn[0].view(np.uint64), drawn[1].view(np.uint64), tie(*drawn[2:])]
-    order = multikey_order(tokens)
-    at = order[(np.arange(1, buckets) * len(order)) // buckets] if len(order) else order
-    return sample.sparkSession.sparkContext.broadcast([t[at] for t in tokens])
-
-
-def sort_in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
-    """Rows that meet an equal leading token, with ``says``; to be written at once."""
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not batches:
+    m, depth_end = words.shape
+    order, step = np.arange(m), 0
+    start, size, depth = np.zeros(1, np.int64), np.full(1, m), np.zeros(1, np.int64)
+    while True:
+        live = (size > 1) & (depth < depth_end)
+        if not live.any():
+            return order
+        start, size, depth, step = start[live], size[live], depth[live], step + 1
+        base = np.cumsum(size) - size
+        segment = np.repeat(np.arange(len(size)), size)
+        inner = np.arange(len(segment)) - base[segment]
+        rows = order[start[segment] + inner]
+        word = words[rows, depth[segment]]
+        a, b, c = (word[base + (size * ((step * i) % 97)) // 97] for i in (37, 61, 89))
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[segment]
+        less, equal = word < pivot, word == pivot
+        n_less, n_equal = np.add.reduceat(less, base, dtype=np.int64), np.add.reduceat(equal, base, dtype=np.int64)
+        less_before, equal_before = np.cumsum(less) - less, np.cumsum(equal) - equal
+        less_before -= less_before[base][segment]
+        equal_before -= equal_before[base][segment]
+        to = np.where(less, less_before, n_less[segment] + np.where(equal, equal_before, n_equal[segment] + inner - less_before - equal_before))
+        order[start[segment] + to] = rows
+        start = np.concatenate([start, start + n_less, start + n_less + n_equal])
+        size = np.concatenate([n_less, n_equal, size - n_less - n_equal])
+        depth = np.concatenate([depth, depth + 1, depth])
+
+
+def byte_rows(data: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Rows of ``width`` bytes from ``start`` on, forward or back, zero behind ``length``."""
+    out = np.zeros((len(start), -(-width // 8) * 8), np.uint8)
+    along = np.arange(width)
+    for k in range(0, len(start), 8192):
+        s, n = start[k : k + 8192, None], length[k : k + 8192, None]
+        at = np.clip(s + step * along, 0, max(0, len(data) - 1))
+        out[k : k + 8192, :width] = np.where(along < n, data[at], 0)
+    return out
+
+
+def as_words(rows: np.ndarray) -> np.ndarray:
+    return rows.view(">u8").astype(np.uint64)
+
+
+def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of each row in order the bytes that it shares with the one before; 0 for the first."""
+    out = np.zeros(len(order), np.int64)
+    for k in range(1, len(order), 8192):
+        differs = rows[order[k : k + 8192]] != rows[order[k - 1 : k - 1 + len(order[k : k + 8192])]]
+        out[k : k + 8192] = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
+    return out
+
+
+class Block:
+    """Suffixes that are compared with each other: (k0, k1, lo, n, back) and their bytes."""
+
+    def __init__(self, table: pa.Table, stretch: int, lead: int):
+        self.k0, self.k1, self.lo, n, back = (table.column(x).to_numpy() for x in ("k0", "k1", "lo", "n", "back"))
+        self.n, self.back, self.stretch, self.lead = n.astype(np.int64), back.astype(np.int64), stretch, lead
+        self.data, offsets = text_buffers(table.column("bytes").combine_chunks() if table.num_rows else pa.array([], pa.binary()))
+        self.start = offsets[:-1]
+        self.w0 = table.column("w0").to_numpy()
+
+    def compare(self, spread: set[int]) -> Iterator[pa.RecordBatch]:
+        """Stretches that are repeated and, of leads that go on elsewhere, one of each different window."""
+        stretch, lead = self.stretch, self.lead
+        if not len(self.lo):
+            return
+        ahead = self.n + stretch - 1 - self.back
+        rows = byte_rows(self.data, self.start + self.back, ahead, stretch, 1)
+        order = multikey_quicksort(as_words(rows))
+        prefix = common_prefixes(rows, order)
+        begins = prefix < lead
+        begins[0] = True
+        group = np.cumsum(begins) - 1
+        open_ = np.isin(self.w0[order], np.array(sorted(spread), np.int64))
+        of = np.flatnonzero((np.bincount(group)[group] > 1) | open_)
+        if not len(of):
             return
-        got = pa.Table.from_batches(batches)
-        del batches
-        bucket = got.column("bucket").to_numpy()
-        got = got.drop_columns(["bucket"])
-        for b in np.unique(bucket):  # one, where the engine keeps to the numbers
-            own = got if (bucket == b).all() else got.filter(pa.array(bucket == b))
-            t0, t1 = (own.column(x).to_numpy().view(np.uint64) for x in ("t0", "t1"))
-            order = multikey_order([t0, t1])
-            says = compare(t0[order], t1[order])
-            keep = says > 0
-            out = own.take(pa.array(order[keep])).append_column("says", pa.array(says[keep].astype(np.int8)))
-            yield from out.to_batches(max_chunksize=100_000)
-
-    return arrow_map(rows.repartitionById(buckets, F.col("bucket")), sort, f"{ROW}, says byte")
+        # From here on rows are those with company, in the order from the anchor on.
+        prefix, group, open_, at = np.where(begins, 0, prefix)[of], group[of], open_[of], order[of]
+        del rows
+        m, width = len(at), stretch - lead
+        back, n, ahead = self.back[at], self.n[at], ahead[at]
+        rows = byte_rows(self.data, self.start[at] + back - 1, back, width, -1)
+        behind = multikey_quicksort(np.column_stack([group.astype(np.uint64), as_words(rows)]))
+        suffix = common_prefixes(rows, behind)
+        suffix[np.concatenate([[True], group[behind][1:] != group[behind][:-1]])] = -1
+        place = np.empty(m, np.int64)
+        place[behind] = np.arange(m)
+        # Rows that agree in everything: all their windows are repeated, and one stands for them.
+        alike = (np.cumsum(prefix < stretch) * (m + 1) + np.cumsum(suffix < width)[place]) * (stretch + 1) ** 2 + back * (stretch + 1) + ahead
+        _, reps, inverse, copies = np.unique(alike, return_index=True, return_inverse=True, return_counts=True)
+        whole = np.flatnonzero(copies[inverse] > 1)
+        yield from self.found(at[whole], self.lo[at[whole]], n[whole])
+        most_ahead = np.maximum(prefix, np.append(prefix[1:], 0))[reps]
+        most_behind = np.empty(m, np.int64)
+        most_behind[behind] = np.maximum(suffix, np.append(suffix[1:], -1))
+        most_behind = most_behind[reps]
+        back, n, opened, copied = back[reps], n[reps], open_[reps], copies > 1
+        hit = np.zeros((len(reps), width + 1), bool)
+        edges = []
+        for d in range(width + 1):  # windows that begin d bytes before their anchor
+            here = np.flatnonzero((d <= back) & (d > back - n) & (opened | ((most_ahead >= stretch - d) & (most_behind >= d))))
+            if not len(here):
+                continue
+            own = reps[here]
+            key = np.cumsum(prefix < stretch - d)[own] * (m + 1) + np.cumsum(suffix < d)[place[own]]
+            by = np.argsort(key, kind="stable")
+            same = key[by][1:] == key[by][:-1]
+            twice = np.zeros(len(by), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            hit[here[by], d] = twice
+            head = np.concatenate([[True], ~same])
+            head &= opened[here[by]]
+            if head.any():
+                one = here[by[head]]
+                edges.append((one, np.full(len(one), d), twice[head] | copied[one]))
+        hit[copied] = False  # told above
+        step = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        who, low = np.nonzero(step == 1)
+        high = np.nonzero(step == -1)[1]  # runs in the same order
+        rows_at = at[reps[who]]
+        yield from self.found(rows_at, self.lo[rows_at] + back[who] - high + 1, high - low)
+        for one, d, settled in edges:
+            yield from self.edges(at[reps[one]], back[one] - d, settled)
+
+    def found(self, rows: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(rows), 100_000):
+            some = rows[k : k + 100_000]
+            yield outcome(self.k0[some], self.k1[some], lo[k : k + 100_000], n[k : k + 100_000], np.full(len(some), FOUND))
+
+    def edges(self, rows: np.ndarray, offset: np.ndarray, settled: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The windows at the offsets of the rows, by digest."""
+        view = memoryview(self.data)
+        for k in range(0, len(rows), 100_000):
+            some, off, done = rows[k : k + 100_000], offset[k : k + 100_000], settled[k : k + 100_000]
+            digests = b"".join([hashlib.blake2b(view[a : a + self.stretch], digest_size=16).digest() for a in (self.start[some] + off).tolist()])
+            d0, d1 = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+            yield outcome(self.k0[some], self.k1[some], self.lo[some] + off, np.ones(len(some)), np.where(done, SETTLED, OPEN), d0, d1)
+
+
+FOUND, OPEN, SETTLED = 1, 4, 5
+OUTCOME = "k0 long, k1 long, lo long, n int, says byte, d0 long, d1 long"
+
+
+def outcome(k0, k1, lo, n, says, d0=None, d1=None) -> pa.RecordBatch:
+    none = np.zeros(len(k0), np.int64)
+    columns = [k0, k1, lo, n.astype(np.int32), says.astype(np.int8), none if d0 is None else d0, none if d1 is None else d1]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[f.split(" ")[0] for f in OUTCOME.split(", ")])
+
+
+def compare_in_buckets(rows: DataFrame, splitters: Broadcast, buckets: int, stretch: int = STRETCH, lead: int = LEAD, block: int = BLOCK_BYTES) -> DataFrame:
+    """OUTCOME rows of all buckets; to be written at once.
+
+    Rows arrive by their first token, so that a block ends where that changes. Where one first
+    token outgrows a block, its rows are cut anywhere and settled like those of split leads.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread = {int(x) for x in splitters.value[1].view(np.int64)}
+        held, size = [], 0
+        for batch in batches:
+            known = batch.filter(batch.column("bytes").is_null())
+            if known.num_rows:
+                yield outcome(*(known.column(x).to_numpy() for x in ("k0", "k1", "lo", "n")), np.full(known.num_rows, FOUND))
+                batch = batch.filter(batch.column("bytes").is_valid())
+            held.append(batch)
+            size += batch.nbytes
+            if size < block:
+                continue
+            table = pa.Table.from_batches(held)
+            w0 = table.column("w0").to_numpy()
+            others = np.flatnonzero(w0 != w0[-1])
+            cut = int(others[-1]) + 1 if len(others) else len(w0)
+            if not len(others):
+                spread.add(int(w0[-1]))
+            yield from Block(table.slice(0, cut), stretch, lead).compare(spread)
+            held = table.slice(cut).combine_chunks().to_batches()
+            size = sum(b.nbytes for b in held)
+        if held:
+            yield from Block(pa.Table.from_batches(held), stretch, lead).compare(spread)
+
+    return arrow_map(rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("w0"), run, OUTCOME)
 
 
 def across(found: DataFrame) -> DataFrame:
-    """Rows with ``says`` of 1 to 3; runs at the edges of buckets are counted over all of them."""
-    edge = found.where("says >= 4")
-    classes = SharedTable(edge.groupBy("t0", "t1").agg(F.sum(F.expr("1 + says % 2")).alias("n1"), F.min(F.struct("doc_id", "tag", "lo")).alias("first")), "classes").df
-    runs = SharedTable(classes.groupBy("t0").agg(F.sum("n1").alias("n0"), F.count(F.lit(1)).alias("n_classes")).where("n0 > 1"), "runs").df
-    known = SharedTable(classes.join(runs, "t0"), "known").df
-    is_first = F.struct("doc_id", "tag", "lo") == F.col("first")
-    says = F.when(F.col("n1") > 1, 1).otherwise(0) + F.when((F.col("n_classes") > 1) & ((F.col("n1") == 1) | is_first), 2).otherwise(0)
-    names = found.columns
-    settled = edge.join(known, ["t0", "t1"]).withColumn("says", says.cast("byte")).select(names)
-    return found.where("says < 4").unionByName(settled.where("says > 0"))
+    """k0, k1, lo, n of the windows that met an equal one in another block or bucket."""
+    edge = found.where(F.col("says") >= OPEN)
+    met = edge.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("d0", "d1")
+    return edge.where(F.col("says") == OPEN).join(met.hint("merge"), ["d0", "d1"], "left_semi").select("k0", "k1", "lo", "n")
 
 
 # --- from windows to texts
@@ -306,74 +494,52 @@ def bits_at(words: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 class TextMap:
-    """A bit for the hash of each text that a table names; of fixed size, and safe to be too full."""
+    """A bit for the key of each text that a table names; of fixed size, and safe to be too full."""
 
     def __init__(self, named: DataFrame, bits: int = MAP_BITS):
-        slot = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(bits))
-        words = named.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("m"))
+        words = named.select(F.pmod("k0", F.lit(bits)).alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("m"))
         got = words.toArrow()  # bits / 64 rows at most
         self.words = np.zeros(bits // 64, np.int64)
         self.words[got.column("w").to_numpy()] = got.column("m").to_numpy()
         self.bits, self.shared = bits, named.sparkSession.sparkContext.broadcast(self.words.view(np.uint64))
 
-    def slot(self):
-        return F.pmod(F.xxhash64("doc_id", "tag"), F.lit(self.bits))
+    def slot(self, key: str):
+        return F.pmod(F.col(key), F.lit(self.bits))
 
-    def select(self, rows: DataFrame) -> DataFrame:
-        """The rows whose doc_id and tag are in the map."""
-        shared = self.shared
+    def select(self, rows: DataFrame, key: str) -> DataFrame:
+        """The rows whose key is in the map."""
+        shared, (name,) = self.shared, fresh(rows, "_slot")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 named = bits_at(shared.value, batch.column(batch.num_columns - 1).to_numpy())
-                yield batch.filter(pa.array(named)).drop_columns(["_slot"])
-
-        return arrow_map(rows.withColumn("_slot", self.slot()), run, rows.schema)
-
+                yield batch.filter(pa.array(named)).drop_columns([name])
 
-def numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """doc_id, tag, text; a null id is the least long from here on."""
-    return docs.select(F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("doc_id"), text_tag(text).alias("tag"), whole_text(text).alias("text"))
+        return arrow_map(rows.withColumn(name, self.slot(key)), run, rows.schema)
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stretch: int = STRETCH, lead: int = LEAD, part: int = PART, buckets: int | None = None) -> SharedTable:
-    """doc_id, tag, lo, n: stretches of n windows, from byte lo on, that are repeated."""
-    spark = docs.sparkSession
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = numbered(docs, id_col, text)
-    few = texts.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SAMPLED)) == 0)
-    splitters = draw_splitters(suffixes(few, stretch, lead, part), buckets)
-    first = SharedTable(sort_in_buckets(suffixes(texts, stretch, lead, part, splitters), buckets), "suffixes")
+def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stretch: int = STRETCH, lead: int = LEAD, part: int = PART, buckets: int | None = None, block: int = BLOCK_BYTES) -> DataFrame:
+    """k0, k1 (the row's key), lo, n: stretches of n windows, from byte lo on, that are repeated."""
+    assert 8 <= lead < stretch
+    texts = docs.select(*row_key(id_col, text), whole_text(text).alias("text"))
+    total = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    splitters, buckets = draw_splitters(texts, total, stretch, lead, part, buckets)
+    found = SharedTable(compare_in_buckets(suffixes(texts, splitters, stretch, lead, part), splitters, buckets, stretch, lead, block), "suffixes")
     settle()
-    level1 = SharedTable(across(first.df), "level1")
-
-    opened = level1.df.where("says >= 2")
-    wanted = TextMap(opened).select(texts)
-    lists = opened.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n", "t0")).alias("x"))  # of a text's own suffixes
-    lists = lists.select("doc_id", "tag", F.col("x.lo").alias("los"), F.col("x.n").alias("ns"), F.col("x.t0").alias("leads"))
-    # Rows with the same id and text have the same windows; one of them stands for all, which level 1 found repeated.
-    joined = wanted.join(lists.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "los", "ns", "leads")
-    splitters = draw_splitters(windows(joined.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SAMPLED)) == 0), stretch), buckets)
-    second = SharedTable(sort_in_buckets(windows(joined, stretch, splitters), buckets), "windows")
-    settle()
-    both = level1.df.where("says % 2 = 1").unionByName(across(second.df).where("says % 2 = 1"))
-    out = SharedTable(both.select("doc_id", "tag", "lo", "n"), "repeated")
-    for x in (first, level1, second):
-        x.drop()
-    settle()
-    return out
+    met = SharedTable(across(found.df), "across")
+    return found.df.where(F.col("says") == FOUND).select("k0", "k1", "lo", "n").unionByName(met.df)
 
 
 def with_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, TextMap]:
     """The rows of ``docs`` that the map names, with arrays _los and _ns of the repeated stretches, and, with
     a _slot, all rows again, of which apply_spans() leaves those that the map names out."""
-    cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    keyed = docs.select(*cols, F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("doc_id"), text_tag(text).alias("tag"))
-    names = TextMap(found)
-    lists = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("x")).select("doc_id", "tag", F.col("x.lo").alias("_los"), F.col("x.n").alias("_ns"))
     own = [f"c{i}" for i in range(len(docs.columns))]
-    cut = names.select(keyed).join(lists.hint("merge"), ["doc_id", "tag"], "left").select(*own, F.lit(None).cast("long").alias("_slot"), "_los", "_ns")
-    whole = keyed.select(*own, names.slot().alias("_slot"), F.lit(None).cast("array<long>").alias("_los"), F.lit(None).cast("array<int>").alias("_ns"))
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)), *row_key(id_col, text))
+    names = TextMap(found)
+    # A set: rows that share id and text have the same stretches, each of them once for every row.
+    lists = found.groupBy("k0", "k1").agg(F.collect_set(F.struct("lo", "n")).alias("x")).select("k0", "k1", F.col("x.lo").alias("_los"), F.col("x.n").alias("_ns"))
+    cut = names.select(keyed, "k0").join(lists.hint("merge"), ["k0", "k1"], "left").select(*own, F.lit(None).cast("long").alias("_slot"), "_los", "_ns")
+    whole = keyed.select(*own, names.slot("k0").alias("_slot"), F.lit(None).cast("array<long>").alias("_los"), F.lit(None).cast("array<int>").alias("_ns"))
     return cut.unionByName(whole), names
 
 
@@ -426,7 +592,7 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         )
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return apply_spans(with_spans(narrow, found.df), narrow, "text", make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", options.get("stretch", STRETCH))
+    return apply_spans(with_spans(narrow, found), narrow, "text", make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", options.get("stretch", STRETCH))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -442,7 +608,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         columns[at] = pa.array([k.decode("utf-8", "ignore") if r else t.as_py() for (k, r, _), t in zip(kept, columns[at])], pa.string())
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = apply_spans(with_spans(docs, found.df, id_col, text), docs, text, make, docs.schema, options.get("stretch", STRETCH))
+    out = apply_spans(with_spans(docs, found, id_col, text), docs, text, make, docs.schema, options.get("stretch", STRETCH))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out

@@ -1,5 +1,6 @@
 """Small documents with what goes wrong: nulls, empty and long texts, ties, repeats, odd columns."""
 
+import hashlib
 import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -28,4 +29,10 @@ def odd_columns(df):
     """Columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    return df.select("*", *(F.lit(7).alias(c) for c in ("tag", "fp", "row", "length", "piece", "n", "t0", "lo", "first", "bucket", "score", "anchor", "text_sha256", "key")))
+    return df.select("*", *(F.lit(7).alias(c) for c in ("tag", "fp", "row", "length", "piece", "n", "t0", "lo", "first", "bucket", "score", "anchor", "text_sha256", "key", "k0", "_k1", "_digest", "kept_text", "n_lines", "_lines", "_slot", "_nth", "_los", "h", "near")))
+
+
+def row_key(doc, text):
+    """The key that orders rows of one id."""
+    digest = hashlib.sha256((("-" if doc is None else f"+{doc}\0") + (text or "")).encode()).hexdigest()
+    return int(digest[:15], 16), int(digest[15:30], 16)

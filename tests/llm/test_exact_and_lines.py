@@ -5,7 +5,7 @@ import pytest
 
 from tesselle.llm import exact, lines
 
-from .data import documents, frame, odd_columns
+from .data import documents, frame, odd_columns, row_key
 
 
 def normal(t):
@@ -43,9 +43,9 @@ def test_rows_that_stay(spark):
     assert exact.group_copies(frame(spark, [])).collect() == [] and exact.drop_copies(frame(spark, [])).collect() == []
 
 
-def brute_lines(rows, run, tag):
-    """First occurrences stay, in the order of id and a hash of the text; equal rows are one document."""
-    docs = sorted({(d is None, d or 0, tag[t], t or "") for d, t, *_ in rows})
+def brute_lines(rows, run):
+    """First occurrences stay, in the order of id and key; equal rows are one document."""
+    docs = sorted({(d is None, d or 0, row_key(d, t), t or "") for d, t, *_ in rows})
     seen, cut = set(), {}
     for key in docs:
         found = key[3].split("\n")
@@ -58,26 +58,44 @@ def brute_lines(rows, run, tag):
         cut[key] = (found, gone)
     out = []
     for d, t, *_ in rows:
-        found, gone = cut[(d is None, d or 0, tag[t], t or "")]
+        found, gone = cut[(d is None, d or 0, row_key(d, t), t or "")]
         kept = "\n".join(x for i, x in enumerate(found) if i not in gone)
         out.append((d, len(found), len(gone), sum(i in gone and i - 1 not in gone for i in range(len(found))), sha(kept)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("run", [1, 2, 3])
+@pytest.mark.parametrize("run", [1, 2, 3, 8])
 def test_lines_against_a_set(spark, run):
     rows = [(d, t and re.sub(" (Sit|x|dolor)", "\n", t), a, b, c) for d, t, a, b, c in documents(13, n=70, words=("a", "b", "Sit", "x", "dolor"))]
     rows += [(900 + i, "head\nsame\nsame\nsame\n" + str(i) + "\ncommon\nlines\nhere\n\n\n", None, None, 0) for i in range(20)]
     df = odd_columns(frame(spark, rows))
-    tag = {r.text: r.t for r in df.selectExpr("text", "hash(coalesce(text, '')) t").collect()}
     got = lines.removal_digests(df, run=run).collect()
-    assert sorted(map(tuple, got), key=str) == brute_lines(rows, run, tag)
+    assert sorted(map(tuple, got), key=str) == brute_lines(rows, run)
 
 
 def test_lines_of_no_rows_and_kept_columns(spark):
     assert lines.removal_digests(frame(spark, [])).collect() == []
     df = odd_columns(frame(spark, documents(14)))
-    assert lines.remove_runs(df).columns[: len(df.columns)] == df.columns
+    out = lines.remove_runs(df)
+    assert out.columns == [*df.columns, "kept_text_", "n_lines_", "n_removed", "n_runs"]
+    assert {r.kept_text for r in out.select("kept_text").collect()} == {7}
+
+
+def test_a_very_long_line_and_very_many_lines(spark):
+    rows = [(1, "x" * 1_000_000, None, None, 0), (2, "x" * 1_000_000 + "\nand\nmore", None, None, 0), (3, "a\nb\n" * 100_000, None, None, 0), (4, "and\nmore", None, None, 0)]
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in lines.removal_digests(frame(spark, rows)).collect()}
+    # of a, b, a, b the first three lines are the first a b and b a; the last line is empty
+    assert got == {1: (1, 0), 2: (3, 0), 3: (200_001, 199_997 + 1), 4: (2, 2)}
+    kept = {r.doc_id: r.group_size for r in exact.group_copies(frame(spark, rows + [(9, "x" * 1_000_000, None, None, 0)])).collect()}
+    assert kept == {1: 2, 2: 1, 3: 1, 4: 1, 9: 2}
+
+
+def test_a_hot_fingerprint_with_many_neighbours(spark):
+    """One line everywhere, with the same and with other lines around it."""
+    rows = [(i, f"{i % 7}\nthe line\n{i % 5}\n{i}\nthe line", None, None, 0) for i in range(200)]
+    for run in (1, 2, 3):
+        got = lines.removal_digests(frame(spark, rows).repartition(5), run=run).collect()
+        assert sorted(map(tuple, got), key=str) == brute_lines(rows, run)
 
 
 def test_native_plans_run_no_python(spark):

@@ -5,7 +5,7 @@ import numpy as np
 
 from tesselle.llm import omh
 
-from .data import documents, frame, odd_columns
+from .data import documents, frame, odd_columns, row_key
 
 
 def one_signature(text, k=omh.K):
@@ -59,8 +59,7 @@ def test_neighbours(spark):
     rows = documents(7)
     got = omh.neighbour_fingerprints(odd_columns(frame(spark, rows).repartition(5))).collect()
     assert len(got) == len(rows)
-    tag = {r.text: r.t for r in frame(spark, rows).selectExpr("text", "hash(coalesce(text, '')) t").collect()}
-    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, tag[x[1]]))
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, row_key(x[0], x[1])))
     want = []
     for i, row in enumerate(order):
         text, following = row[1] or "", order[(i + 1) % len(order)][1] or ""

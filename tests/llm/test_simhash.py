@@ -7,7 +7,7 @@ import xxhash
 
 from tesselle.llm import graph, simhash
 
-from .data import documents, frame, odd_columns
+from .data import documents, frame, odd_columns, row_key
 
 
 def fingerprint(text, words=3):
@@ -131,7 +131,15 @@ def test_one_of_each_group_stays(spark):
     rows = documents(4, n=60)
     df = odd_columns(frame(spark, rows))
     out = simhash.keep_one(df)
-    found = simhash.near_groups(df).collect()
+    found = simhash.grouped(df).collect()
     assert out.columns == df.columns
-    assert out.count() == sum(r.doc_id == r.component_id for r in found)
+    first = {}
+    for r in found:
+        place = (r.doc_id is None, r.doc_id or 0, r.k0, r.k1)
+        first[r.root] = min(first.get(r.root, place), place)
+    left = [(r.doc_id is None, r.doc_id or 0, *row_key(r.doc_id, r.text)) for r in out.collect()]
+    assert sorted(left) == sorted(first.values())
     assert simhash.near_groups(frame(spark, [])).collect() == []
+    # Rows that share an id are told apart: the second one is alone in its group.
+    three = [(5, "one and the same text", None, None, 0), (7, "one and the same text", None, None, 0), (7, "something else that has company nowhere", None, None, 0)]
+    assert sorted((r.doc_id, r.text[:3]) for r in simhash.keep_one(frame(spark, three)).collect()) == [(5, "one"), (7, "som")]

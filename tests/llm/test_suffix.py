@@ -1,4 +1,5 @@
 import hashlib
+import os.path
 import random
 from collections import Counter
 
@@ -25,7 +26,7 @@ def brute(rows, stretch):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("stretch,lead,part,buckets", [(200, 100, 1 << 20, 3), (20, 8, 64, 7), (33, 17, 100, 2)])
+@pytest.mark.parametrize("stretch,lead,part,buckets", [(200, 32, 1 << 20, 3), (20, 8, 64, 7), (33, 17, 100, 2)])
 def test_against_brute_force(spark, stretch, lead, part, buckets):
     rows = documents(stretch, n=80)
     df = odd_columns(frame(spark, rows))
@@ -54,12 +55,49 @@ def test_empty_table_and_kept_columns(spark):
             assert len((row.text or "").encode()) <= lengths[row.doc_id]
 
 
-def test_multikey_order_and_buckets():
+def test_multikey_quicksort_and_buckets():
     r = np.random.default_rng(0)
-    tokens = [r.integers(0, 4, 500).astype(np.uint64) for _ in range(3)]
-    order = suffix.multikey_order(tokens)
-    rows = list(zip(*tokens))
-    assert [rows[i] for i in order] == sorted(rows)
+    words = r.integers(0, 4, (500, 3)).astype(np.uint64)
+    order = suffix.multikey_quicksort(words)
+    rows = [tuple(x) for x in words.tolist()]
+    assert [rows[i] for i in order] == sorted(rows) and sorted(order.tolist()) == list(range(500))
     cuts = sorted(rows)[::60]
-    splitters = [np.array(c) for c in zip(*cuts)]
-    assert suffix.bucket_of(tokens, splitters).tolist() == [sum(c <= row for c in cuts) for row in rows]
+    splitters = [np.array(c, np.uint64) for c in zip(*cuts)]
+    assert suffix.bucket_of(list(words.T), splitters).tolist() == [sum(c <= row for c in cuts) for row in rows]
+
+
+def test_common_prefixes():
+    r = np.random.default_rng(1)
+    rows = r.integers(0, 3, (300, 16)).astype(np.uint8)
+    order = suffix.multikey_quicksort(suffix.as_words(rows))
+    got = suffix.common_prefixes(rows, order)
+    texts = [bytes(rows[i]) for i in order]
+    assert texts == sorted(texts)
+    assert got.tolist() == [0, *(len(os.path.commonprefix([a, b])) for a, b in zip(texts, texts[1:]))]
+
+
+def test_a_lead_that_fills_buckets_is_split_and_others_are_not():
+    r = np.random.default_rng(2)
+    lead = np.where(r.random(4000) < 0.5, 7, r.integers(0, 1000, 4000)).astype(np.uint64)
+    drawn = [lead, lead + np.uint64(1), r.integers(0, 1 << 60, 4000).astype(np.uint64), r.integers(0, 1 << 60, 4000).astype(np.uint64)]
+    cuts, split = suffix.choose_splitters(drawn, 20, 2)
+    assert split.tolist() == [7]
+    bucket = suffix.bucket_of(drawn, cuts)
+    assert np.bincount(bucket, minlength=20).max() < 500
+    for one in np.unique(lead):
+        assert one == 7 or len(np.unique(bucket[lead == one])) == 1
+
+
+@pytest.mark.parametrize("block", [1, 2000, 1 << 24])
+def test_blocks_of_any_size(spark, block):
+    rows = documents(6, n=60) + [(700 + i, "xyz " * i, None, None, 0) for i in range(30)]
+    got = suffix.removal_digests(frame(spark, rows), stretch=24, lead=8, part=200, buckets=5, block=block).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 24)
+
+
+def test_very_long_texts_without_spaces(spark):
+    r = random.Random(9)
+    noise = "".join(r.choice("abcdef") for _ in range(400_000))
+    rows = [(1, "a" * 1_000_000, None, None, 0), (2, "ab" * 300_000, None, None, 0), (3, noise, None, None, 0), (4, "q" + noise[1000:300_000], None, None, 0)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix.removal_digests(frame(spark, rows)).collect()}
+    assert got == {1: (1_000_000, 1_000_000, 1), 2: (600_000, 600_000, 1), 3: (400_000, 299_000, 1), 4: (299_001, 299_000, 1)}
