@@ -8,8 +8,8 @@ bytes of all windows that have it.
 
 Splitters sampled from some texts deal the suffixes to buckets by their leading 8-byte tokens.
 Suffixes with the same lead are in one bucket, but for a lead that fills buckets, which is split
-further and settled across them. A bucket arrives in the order of the first token and is taken in
-blocks of bounded size. A block is sorted by a three-way multikey quicksort, from the anchor on and,
+further and settled across them. Buckets that would outgrow memory have cells, by a hash of the lead,
+and arrive cell by cell. A cell, or a part of it that fits into memory, is a block. It is sorted by a three-way multikey quicksort, from the anchor on and,
 within equal leads, once more from the anchor back. The common prefixes of neighbours in the two
 orders tell for each distance from the anchor which windows are equal, byte for byte.
 
@@ -43,10 +43,10 @@ LEAD = 32
 PART = 1 << 18
 #: One in so many texts is sampled for splitters, and so many suffixes are drawn for each bucket.
 SAMPLED, OVERSAMPLE = 64, 40
-#: Bytes of a bucket, about, and buckets at most: beyond that they grow, and are read in more blocks.
+#: Bytes of a bucket, about, and buckets at most: beyond that a bucket has several cells of that size.
 BUCKET_BYTES, MAX_BUCKETS = 16 << 20, 20_000
-#: Bytes that are sorted in memory at a time.
-BLOCK_BYTES = 24 << 20
+#: Bytes that are sorted in memory at a time, and that a task gathers before it sends them.
+BLOCK_BYTES, BUFFER_BYTES = 32 << 20, 16 << 20
 #: Bits of the map of texts that have anything to remove; more texts make it fuller, never wrong.
 MAP_BITS = 1 << 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -130,7 +130,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, stretch: int = STRETCH, lead:
         near = np.zeros(len(at), bool)
         near[1:] |= again
         near[:-1] |= again
-        (at, first, n), found = without_periods(data, hashes, at, first, n, near, stretch)
+        (at, first, n), found = without_periods(data, hashes, at, first, n, near, stretch, valid_lo[long])
     text_of = lambda x: np.searchsorted(offsets, x, "right") - 1
     return (at, text_of(first), first, n), (text_of(found[0]), *found)
 
@@ -148,7 +148,7 @@ def runs_of(x: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff(np.append(at, len(x)))
 
 
-def without_periods(data, hashes, at, first, n, near, stretch):
+def without_periods(data, hashes, at, first, n, near, stretch, begins):
     """The anchors with one of each window that occurs twice among those ``near``, and all such windows."""
     start, owner = expanded(first[near], n[near]), np.repeat(np.flatnonzero(near), n[near])
     _, where, inverse, counts = np.unique(hashes.of(start, start + stretch), return_index=True, return_inverse=True, return_counts=True)
@@ -160,7 +160,7 @@ def without_periods(data, hashes, at, first, n, near, stretch):
     keep = ~twice | (head == np.arange(len(start)))
     first_kept, n_kept = runs_of(start[keep], np.concatenate([[True], owner[keep][1:] != owner[keep][:-1]]))
     of = owner[np.searchsorted(start, first_kept)]
-    found = runs_of(start[twice], np.isin(start[twice], first))
+    found = runs_of(start[twice], np.isin(start[twice], begins))  # not over the beginning of a text
     return [np.concatenate(x) for x in ((at[~near], at[of]), (first[~near], first_kept), (n[~near], n_kept))], found
 
 
@@ -189,21 +189,74 @@ def tokens(data: np.ndarray, hashes: Hashes, at, first, n, k0, place, stretch: i
     return [*out, hashes.of(first, first + n + stretch - 1), mixed(k0.view(np.uint64) * BASE ^ place.astype(np.uint64))]
 
 
-def binary(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
-    ends = np.zeros(len(start) + 1, np.int32)
-    np.cumsum(length, out=ends[1:])
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[expanded(start, length)])])
-
-
-SUFFIX = "k0 long, k1 long, lo long, n int, back int, w0 long, bytes binary, bucket int"
-
-
-def suffixes(texts: DataFrame, splitters: Broadcast, stretch: int = STRETCH, lead: int = LEAD, part: int = PART) -> DataFrame:
-    """The anchors of (k0, k1, text): first window, number of windows, distance from the first window's
-    start to the anchor, first token, bytes, bucket. Windows known to be repeated have no bytes."""
+#: A blob holds m suffixes of a bucket's cell: their arrays and bytes, compressed; ``size`` bytes before that.
+BLOB = "bucket int, cell int, known boolean, m int, size int, blob binary"
+
+
+class Sender:
+    """Gathers suffixes until they have BUFFER_BYTES, then makes a blob for each cell, in the order of the first tokens."""
+
+    def __init__(self, cuts: list[np.ndarray], cells: int, lead_words: int, stretch: int):
+        self.cuts, self.cells, self.lead_words, self.stretch = cuts, cells, lead_words, stretch
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.known, self.data, self.size, self.held = [], [], [], 0, 0
+
+    def add(self, data, k0, k1, lo, n, back, first, tokens) -> None:
+        bucket = bucket_of(tokens, self.cuts)
+        cell = np.zeros(len(lo), np.int64)
+        if self.cells > 1:
+            h = tokens[0]
+            for t in tokens[1 : self.lead_words]:
+                h = mixed(h * BASE + t)
+            cell = (mixed(h) % np.uint64(self.cells)).astype(np.int64)
+        self.rows.append((k0, k1, lo, n, back, first + self.size, bucket, cell, tokens[0], tokens[min(1, self.lead_words - 1)]))
+        self.data.append(data)
+        self.size += len(data)
+        self.held += int((n + self.stretch - 1).sum())
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        out = []
+        if self.known:
+            k0, k1, lo, n = (np.concatenate(x) for x in zip(*self.known))
+            if len(k0):
+                out.append((int(k0[0] % (len(self.cuts[0]) + 1)), 0, True, len(k0), [k0, k1, lo, n.astype(np.int32)]))
+        if self.rows:
+            k0, k1, lo, n, back, start, bucket, cell, w0, w1 = (np.concatenate(x) for x in zip(*self.rows))
+            order = np.lexsort([w1, w0, cell, bucket])
+            k0, k1, lo, n, back, start, bucket, cell = (x[order] for x in (k0, k1, lo, n, back, start, bucket, cell))
+            length = n + self.stretch - 1
+            payload, ends = np.concatenate(self.data)[expanded(start, length)], np.concatenate([[0], np.cumsum(length)])
+            cuts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1]), [True]]))
+            for a, z in zip(cuts, cuts[1:]):
+                out.append((bucket[a], cell[a], False, z - a, [k0[a:z], k1[a:z], lo[a:z], n[a:z].astype(np.int32), back[a:z].astype(np.int32), payload[ends[a] : ends[z]]]))
+        self.clear()
+        for k in range(0, len(out), 1000):
+            some, blobs = out[k : k + 1000], [b"".join([x.tobytes() for x in o[4]]) for o in out[k : k + 1000]]
+            columns = [pa.array([o[i] for o in some], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(b) for b in blobs], pa.int32()), pa.array([pa.compress(b, "zstd", asbytes=True) for b in blobs], pa.binary())], names=[f.split(" ")[0] for f in BLOB.split(", ")])
+
+
+def opened(m: int, size: int, blob, kinds: tuple) -> list[np.ndarray]:
+    """The arrays of a blob, and the bytes behind them."""
+    raw, at, out = pa.decompress(blob, size, "zstd"), 0, []
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, m, at))
+        at += out[-1].nbytes
+    return [*out, np.frombuffer(raw, np.uint8, size - at, at)]
+
+
+KNOWN = (np.int64, np.int64, np.int64, np.int32)
+SUFFIXES = (*KNOWN, np.int32)
+
+
+def suffixes(texts: DataFrame, splitters: Broadcast, cells: int = 1, stretch: int = STRETCH, lead: int = LEAD, part: int = PART, buffer: int = BUFFER_BYTES) -> DataFrame:
+    """The anchors of (k0, k1, text) as BLOB rows; of each: key, first window, number of windows, distance
+    from the first window's start to the anchor, bytes. Windows known to be repeated go without the last two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = splitters.value[0]
+        sender = Sender(splitters.value[0], cells, max(1, lead // 8), stretch)
         for batch in batches:
             k0, k1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for data, offsets, rows, places in slices(batch.column(2), part, stretch):
@@ -211,17 +264,14 @@ def suffixes(texts: DataFrame, splitters: Broadcast, stretch: int = STRETCH, lea
                 if not len(at):
                     continue
                 row, low = rows[text], first - offsets[text] + places[text]
-                t = tokens(data, Hashes(data), at, first, n, k0[row], low, stretch, lead)
-                own = [k0[row], k1[row], low, n, at - first, t[0].view(np.int64)]
-                row, low, none = rows[f_text], f_first - offsets[f_text] + places[f_text], np.zeros(len(f_text), np.int64)
-                known = [k0[row], k1[row], low, f_n, none, none]
-                columns = [np.concatenate(x) for x in zip(own, known)]
-                columns[3], columns[4] = columns[3].astype(np.int32), columns[4].astype(np.int32)
-                bytes_ = pa.concat_arrays([binary(data, first, n + stretch - 1), pa.nulls(len(f_text), pa.binary())])
-                bucket = np.concatenate([bucket_of(t, cuts), none]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), bytes_, pa.array(bucket)], names=[f.split(" ")[0] for f in SUFFIX.split(", ")])
+                sender.add(data.copy(), k0[row], k1[row], low, n, at - first, first, tokens(data, Hashes(data), at, first, n, k0[row], low, stretch, lead))
+                row = rows[f_text]
+                sender.known.append((k0[row], k1[row], f_first - offsets[f_text] + places[f_text], f_n))
+                if sender.held >= buffer:
+                    yield from sender.flush()
+        yield from sender.flush()
 
-    return arrow_map(texts, run, SUFFIX)
+    return arrow_map(texts, run, BLOB)
 
 
 # --- splitters
@@ -260,12 +310,13 @@ def choose_splitters(drawn: list[np.ndarray], buckets: int, lead_words: int) ->
     return cuts, np.unique(cuts[0][split])
 
 
-def draw_splitters(texts: DataFrame, total: int, stretch: int, lead: int, part: int, buckets: int | None) -> tuple[Broadcast, int]:
-    """Splitters and the number of buckets, for ``total`` bytes of text. The driver gets about
-    OVERSAMPLE rows for each bucket, of MAX_BUCKETS at most."""
+def draw_splitters(texts: DataFrame, total: int, stretch: int, lead: int, part: int, buckets: int | None) -> tuple[Broadcast, int, int]:
+    """Splitters, the number of buckets, and of cells in each, for ``total`` bytes of text. The driver gets
+    about OVERSAMPLE rows for each bucket, of MAX_BUCKETS at most."""
     per_anchor = (stretch - lead + 2) / 2  # windows, in the mean over random bytes
-    if buckets is None:
-        buckets = int(min(MAX_BUCKETS, max(1, total * (per_anchor + stretch - 1) / per_anchor // BUCKET_BYTES)))
+    wanted = max(1, int(total * (per_anchor + stretch - 1) / per_anchor / BUCKET_BYTES))
+    cells = -(-wanted // MAX_BUCKETS)
+    buckets = buckets or min(wanted, MAX_BUCKETS)
     words = max(1, lead // 8)
     names = [f"t{i}" for i in range(words + 2)]
 
@@ -284,7 +335,7 @@ def draw_splitters(texts: DataFrame, total: int, stretch: int, lead: int, part:
         share = min(1.0, OVERSAMPLE * buckets * SAMPLED * per_anchor / max(1, total))
         found = arrow_map(few, run, ", ".join(f"{n} long" for n in names)).where(F.pmod(F.xxhash64(*names), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).toArrow()
         drawn = [found.column(x).to_numpy().view(np.uint64) if found.num_rows else d for x, d in zip(names, drawn)]
-    return texts.sparkSession.sparkContext.broadcast(choose_splitters(drawn, buckets, words)), buckets
+    return texts.sparkSession.sparkContext.broadcast(choose_splitters(drawn, buckets, words)), buckets, cells
 
 
 # --- blocks
@@ -349,26 +400,27 @@ def common_prefixes(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
 class Block:
     """Suffixes that are compared with each other: (k0, k1, lo, n, back) and their bytes."""
 
-    def __init__(self, table: pa.Table, stretch: int, lead: int):
-        self.k0, self.k1, self.lo, n, back = (table.column(x).to_numpy() for x in ("k0", "k1", "lo", "n", "back"))
+    def __init__(self, blobs: list[list[np.ndarray]], stretch: int, lead: int):
+        self.k0, self.k1, self.lo, n, back, self.data = (np.concatenate(x) for x in zip(*blobs))
         self.n, self.back, self.stretch, self.lead = n.astype(np.int64), back.astype(np.int64), stretch, lead
-        self.data, offsets = text_buffers(table.column("bytes").combine_chunks() if table.num_rows else pa.array([], pa.binary()))
-        self.start = offsets[:-1]
-        self.w0 = table.column("w0").to_numpy()
+        length = self.n + stretch - 1
+        self.start = np.cumsum(length) - length
 
-    def compare(self, spread: set[int]) -> Iterator[pa.RecordBatch]:
-        """Stretches that are repeated and, of leads that go on elsewhere, one of each different window."""
+    def compare(self, spread: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """Stretches that are repeated and, of leads that go on elsewhere (those that begin with a token
+        in ``spread``, or all), one of each different window."""
         stretch, lead = self.stretch, self.lead
-        if not len(self.lo):
-            return
         ahead = self.n + stretch - 1 - self.back
         rows = byte_rows(self.data, self.start + self.back, ahead, stretch, 1)
-        order = multikey_quicksort(as_words(rows))
+        words = as_words(rows)
+        order = multikey_quicksort(words)
+        first_token = words[order, 0]
+        del words
         prefix = common_prefixes(rows, order)
         begins = prefix < lead
         begins[0] = True
         group = np.cumsum(begins) - 1
-        open_ = np.isin(self.w0[order], np.array(sorted(spread), np.int64))
+        open_ = np.ones(len(order), bool) if spread is None else np.isin(first_token, spread)
         of = np.flatnonzero((np.bincount(group)[group] > 1) | open_)
         if not len(of):
             return
@@ -446,38 +498,34 @@ def outcome(k0, k1, lo, n, says, d0=None, d1=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[f.split(" ")[0] for f in OUTCOME.split(", ")])
 
 
-def compare_in_buckets(rows: DataFrame, splitters: Broadcast, buckets: int, stretch: int = STRETCH, lead: int = LEAD, block: int = BLOCK_BYTES) -> DataFrame:
+def compare_in_buckets(blobs: DataFrame, splitters: Broadcast, buckets: int, stretch: int = STRETCH, lead: int = LEAD, block: int = BLOCK_BYTES) -> DataFrame:
     """OUTCOME rows of all buckets; to be written at once.
 
-    Rows arrive by their first token, so that a block ends where that changes. Where one first
-    token outgrows a block, its rows are cut anywhere and settled like those of split leads.
+    The blobs of a bucket arrive cell by cell, and a cell is a block. One that outgrows a block is
+    cut into several, all of whose windows are settled across blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = {int(x) for x in splitters.value[1].view(np.int64)}
-        held, size = [], 0
+        spread, held, size, own, cut = splitters.value[1], [], 0, None, False
         for batch in batches:
-            known = batch.filter(batch.column("bytes").is_null())
-            if known.num_rows:
-                yield outcome(*(known.column(x).to_numpy() for x in ("k0", "k1", "lo", "n")), np.full(known.num_rows, FOUND))
-                batch = batch.filter(batch.column("bytes").is_valid())
-            held.append(batch)
-            size += batch.nbytes
-            if size < block:
-                continue
-            table = pa.Table.from_batches(held)
-            w0 = table.column("w0").to_numpy()
-            others = np.flatnonzero(w0 != w0[-1])
-            cut = int(others[-1]) + 1 if len(others) else len(w0)
-            if not len(others):
-                spread.add(int(w0[-1]))
-            yield from Block(table.slice(0, cut), stretch, lead).compare(spread)
-            held = table.slice(cut).combine_chunks().to_batches()
-            size = sum(b.nbytes for b in held)
+            for bucket, cell, known, m, length, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
+                if known:
+                    k0, k1, lo, n, _ = opened(m, length, blob.as_buffer(), KNOWN)
+                    yield outcome(k0, k1, lo, n, np.full(m, FOUND))
+                    continue
+                if held and own != (bucket, cell):
+                    yield from Block(held, stretch, lead).compare(None if cut else spread)
+                    held, size, cut = [], 0, False
+                elif size + length > block and held:
+                    yield from Block(held, stretch, lead).compare(None)
+                    held, size, cut = [], 0, True
+                own = bucket, cell
+                held.append(opened(m, length, blob.as_buffer(), SUFFIXES))
+                size += length
         if held:
-            yield from Block(pa.Table.from_batches(held), stretch, lead).compare(spread)
+            yield from Block(held, stretch, lead).compare(None if cut else spread)
 
-    return arrow_map(rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("w0"), run, OUTCOME)
+    return arrow_map(blobs.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "cell"), run, OUTCOME)
 
 
 def across(found: DataFrame) -> DataFrame:
@@ -523,8 +571,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stretc
     assert 8 <= lead < stretch
     texts = docs.select(*row_key(id_col, text), whole_text(text).alias("text"))
     total = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
-    splitters, buckets = draw_splitters(texts, total, stretch, lead, part, buckets)
-    found = SharedTable(compare_in_buckets(suffixes(texts, splitters, stretch, lead, part), splitters, buckets, stretch, lead, block), "suffixes")
+    splitters, buckets, cells = draw_splitters(texts, total, stretch, lead, part, buckets)
+    blobs = suffixes(texts, splitters, cells, stretch, lead, part, min(block, BUFFER_BYTES))
+    found = SharedTable(compare_in_buckets(blobs, splitters, buckets, stretch, lead, block), "suffixes")
     settle()
     met = SharedTable(across(found.df), "across")
     return found.df.where(F.col("says") == FOUND).select("k0", "k1", "lo", "n").unionByName(met.df)

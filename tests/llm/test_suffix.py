@@ -95,6 +95,15 @@ def test_blocks_of_any_size(spark, block):
     assert sorted(map(tuple, got), key=str) == brute(rows, 24)
 
 
+def test_cells(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "MAX_BUCKETS", 2)
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 4000)
+    rows = documents(8, n=60)
+    assert suffix.draw_splitters(frame(spark, rows).selectExpr("1L k0", "1L k1", "text"), 30_000, 24, 8, 200, None)[1:] == (2, 13)
+    got = suffix.removal_digests(frame(spark, rows), stretch=24, lead=8, part=200).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 24)
+
+
 def test_very_long_texts_without_spaces(spark):
     r = random.Random(9)
     noise = "".join(r.choice("abcdef") for _ in range(400_000))
