@@ -226,16 +226,19 @@ class Sender:
             k0, k1, lo, n, back, start, bucket, cell, w0, w1 = (np.concatenate(x) for x in zip(*self.rows))
             order = np.lexsort([w1, w0, cell, bucket])
             k0, k1, lo, n, back, start, bucket, cell = (x[order] for x in (k0, k1, lo, n, back, start, bucket, cell))
-            length = n + self.stretch - 1
-            payload, ends = np.concatenate(self.data)[expanded(start, length)], np.concatenate([[0], np.cumsum(length)])
+            length, data = n + self.stretch - 1, np.concatenate(self.data)
             cuts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1]), [True]]))
             for a, z in zip(cuts, cuts[1:]):
-                out.append((bucket[a], cell[a], False, z - a, [k0[a:z], k1[a:z], lo[a:z], n[a:z].astype(np.int32), back[a:z].astype(np.int32), payload[ends[a] : ends[z]]]))
+                out.append((bucket[a], cell[a], False, z - a, [k0[a:z], k1[a:z], lo[a:z], n[a:z].astype(np.int32), back[a:z].astype(np.int32)], data, start[a:z], length[a:z]))
         self.clear()
-        for k in range(0, len(out), 1000):
-            some, blobs = out[k : k + 1000], [b"".join([x.tobytes() for x in o[4]]) for o in out[k : k + 1000]]
+        for k in range(0, len(out), 100):
+            some, sizes, blobs = out[k : k + 100], [], []
+            for _, _, _, _, arrays, *places in some:
+                raw = b"".join([x.tobytes() for x in arrays] + [d[expanded(start, length)].tobytes() for d, start, length in ([places] if places else [])])
+                sizes.append(len(raw))
+                blobs.append(pa.compress(raw, "zstd", asbytes=True))
             columns = [pa.array([o[i] for o in some], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(b) for b in blobs], pa.int32()), pa.array([pa.compress(b, "zstd", asbytes=True) for b in blobs], pa.binary())], names=[f.split(" ")[0] for f in BLOB.split(", ")])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=[f.split(" ")[0] for f in BLOB.split(", ")])
 
 
 def opened(m: int, size: int, blob, kinds: tuple) -> list[np.ndarray]:
@@ -465,9 +468,10 @@ class Block:
                 one = here[by[head]]
                 edges.append((one, np.full(len(one), d), twice[head] | copied[one]))
         hit[copied] = False  # told above
-        step = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        who, low = np.nonzero(step == 1)
-        high = np.nonzero(step == -1)[1]  # runs in the same order
+        before, after = np.zeros_like(hit), np.zeros_like(hit)
+        before[:, 1:], after[:, :-1] = hit[:, :-1], hit[:, 1:]
+        who, low = np.nonzero(hit & ~before)
+        high = np.nonzero(hit & ~after)[1] + 1  # runs in the same order
         rows_at = at[reps[who]]
         yield from self.found(rows_at, self.lo[rows_at] + back[who] - high + 1, high - low)
         for one, d, settled in edges:
