@@ -1,22 +1,44 @@
 """Tile ids along a Hilbert curve: ids of zoom z begin behind those of all lower zooms.
 
-``with_tile_id`` adds ids to a table: the turns of all levels are found by a parallel prefix scan
-over the bits of x and y, five rounds of shifts and masks in as many projections, which compile
-into one stage of generated code. ``tile_id`` is the same as a Column, for places that take no
-further columns: it walks the bits in a higher-order function, which runs interpreted.
+``tile_id`` is one Column of shifts, masks and look-ups in a constant array, which compile into
+generated code. The curve is a state machine over the bits of x and y: a state says whether the two
+are swapped and whether they are inverted, and each pair of bits gives two bits of the position and
+the next state. The array holds the outcome for four pairs at a time, so an id takes seven look-ups,
+each of which names the one before it once: the expression stays small under filters and joins.
 ``tile_zxy`` is the inverse.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the highest zoom that has ids.
 MAX_ZOOM = 26
 
-#: Shifts and masks that set the bits of a 32-bit number apart by one place each.
-SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+#: Pairs of bits that a look-up takes, and look-ups of an id.
+PAIRS, STEPS = 4, 7
+
+
+def _machine() -> np.ndarray:
+    """By state, PAIRS bits of x and of y: the next state, and 2 * PAIRS bits of the position below it."""
+    out = np.zeros(1 << (2 + 2 * PAIRS), np.int32)
+    for at in range(len(out)):
+        swapped, inverted = at >> (2 * PAIRS + 1), (at >> (2 * PAIRS)) & 1
+        position = 0
+        for bit in range(PAIRS - 1, -1, -1):
+            x, y = ((at >> (PAIRS + bit)) & 1) ^ inverted, ((at >> bit) & 1) ^ inverted
+            if swapped:
+                x, y = y, x
+            position = position << 2 | ((3 * x) ^ y)
+            if y == 0:
+                swapped, inverted = swapped ^ 1, inverted ^ x
+        out[at] = (swapped << 1 | inverted) << (2 * PAIRS) | position
+    return out
+
+
+MACHINE = _machine()
 
 
 def zoom_base(z: Column) -> Column:
@@ -31,26 +53,20 @@ def in_bounds(z: Column, x: Column, y: Column) -> Column:
 
 
 def curve_distance(z: Column, x: Column, y: Column) -> Column:
-    """Position of (x, y) on the curve of zoom z."""
-    bits = F.when(z > 0, F.sequence((z - 1).cast("int"), F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-
-    def step(state: Column, bit: Column) -> Column:
-        shift = lambda v, n: F.call_function("shiftright", v, n)
-        rx = shift(state["x"], bit).bitwiseAND(F.lit(1))
-        ry = shift(state["y"], bit).bitwiseAND(F.lit(1))
-        low = F.call_function("shiftleft", F.lit(1).cast("long"), bit) - 1
-        lx, ly = state["x"].bitwiseAND(low), state["y"].bitwiseAND(low)
-        quadrant = (rx * 3).bitwiseXOR(ry)
-        turned = (ry == 0) & (rx == 1)
-        ax, ay = F.when(turned, low - lx).otherwise(lx), F.when(turned, low - ly).otherwise(ly)
-        return F.struct(
-            F.when(ry == 0, ay).otherwise(ax).alias("x"),
-            F.when(ry == 0, ax).otherwise(ay).alias("y"),
-            (state["d"] + F.call_function("shiftleft", quadrant, bit * 2)).alias("d"),
-        )
-
-    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
-    return F.aggregate(bits, start, step, lambda s: s["d"])
+    """Position of (x, y) on the curve of zoom z, for coordinates within its bounds."""
+    machine, bits = F.lit(MACHINE), PAIRS * STEPS
+    left, right = (lambda v, n: F.call_function("shiftleft", v, n)), (lambda v, n: F.call_function("shiftrightunsigned", v, n))
+    spare = F.lit(bits) - z.cast("int")
+    x, y = (left(v.cast("long"), spare) for v in (x, y))  # the first bit that counts leads
+    state, position = F.lit(0), F.lit(0).cast("long")
+    for step in range(STEPS):
+        low = bits - PAIRS * (step + 1)
+        pairs = [right(v, F.lit(low)).bitwiseAND(F.lit((1 << PAIRS) - 1)).cast("int") for v in (x, y)]
+        at = state.bitwiseOR(left(pairs[0], F.lit(PAIRS))).bitwiseOR(pairs[1])
+        found = F.get(machine, at)
+        position = position.bitwiseOR(left(found.bitwiseAND(F.lit((1 << 2 * PAIRS) - 1)).cast("long"), F.lit(2 * low)))
+        state = found.bitwiseAND(F.lit(3 << 2 * PAIRS))
+    return right(position, 2 * spare)
 
 
 def tile_id(z: Column, x: Column, y: Column) -> Column:
@@ -60,44 +76,7 @@ def tile_id(z: Column, x: Column, y: Column) -> Column:
 
 def with_tile_id(df: DataFrame, z: str = "z", x: str = "x", y: str = "y", out: str = "tile_id") -> DataFrame:
     """``df`` with the id of each tile, null out of bounds."""
-    full = F.lit(0xFFFFFFFF)
-    right = lambda v, n: F.call_function("shiftright", v, F.lit(n))
-    left = lambda v, n: F.call_function("shiftleft", v, n)
-    col = {c: F.col(f"_h{c}") for c in "zxyabcdij"}
-    ok = in_bounds(F.col(z), F.col(x), F.col(y))
-    made = df.withColumn("_hz", F.when(ok, F.col(z).cast("int")).otherwise(-1))
-    align = F.lit(32) - F.greatest(col["z"], F.lit(0))
-    made = made.withColumns({f"_h{n}": F.when(col["z"] > 0, left(F.col(c).cast("long"), align)).otherwise(F.lit(0).cast("long")) for n, c in (("x", x), ("y", y))})
-
-    def stage(frame: DataFrame, **values: Column) -> DataFrame:
-        return frame.withColumns({f"_h{n}": v for n, v in values.items()})
-
-    X, Y, a, b, c, d, i, j = (col[n] for n in "xyabcdij")  # noqa: N806
-    made = stage(made, a=X.bitwiseXOR(Y), c=full.bitwiseXOR(X.bitwiseOR(Y)), d=X.bitwiseAND(full.bitwiseXOR(Y)))
-    made = stage(made, b=full.bitwiseXOR(a))
-    made = stage(
-        made,
-        a=a.bitwiseOR(right(b, 1)),
-        b=right(a, 1).bitwiseXOR(a),
-        c=right(c, 1).bitwiseXOR(b.bitwiseAND(right(d, 1))).bitwiseXOR(c),
-        d=a.bitwiseAND(right(c, 1)).bitwiseXOR(right(d, 1)).bitwiseXOR(d),
-    )
-    for k in (2, 4, 8, 16):
-        both = right(a.bitwiseXOR(b), k)
-        made = stage(
-            made,
-            a=a.bitwiseAND(right(a, k)).bitwiseXOR(b.bitwiseAND(right(b, k))),
-            b=a.bitwiseAND(right(b, k)).bitwiseXOR(b.bitwiseAND(both)),
-            c=c.bitwiseXOR(a.bitwiseAND(right(c, k)).bitwiseXOR(b.bitwiseAND(right(d, k)))),
-            d=d.bitwiseXOR(b.bitwiseAND(right(c, k)).bitwiseXOR(a.bitwiseXOR(b).bitwiseAND(right(d, k)))),
-        )
-    made = stage(made, i=X.bitwiseXOR(Y), c=c.bitwiseXOR(right(c, 1)), d=d.bitwiseXOR(right(d, 1)))
-    made = stage(made, j=d.bitwiseOR(full.bitwiseXOR(i.bitwiseOR(c))).bitwiseAND(full), i=i.bitwiseAND(full))
-    for shift, mask in SPREAD:
-        made = stage(made, **{n: v.bitwiseOR(left(v, F.lit(shift))).bitwiseAND(F.lit(mask)) for n, v in (("i", i), ("j", j))})
-    index = F.call_function("shiftrightunsigned", left(j, F.lit(1)).bitwiseOR(i), F.lit(64) - 2 * F.greatest(col["z"], F.lit(1)))
-    found = F.when(col["z"] >= 0, zoom_base(col["z"]) + F.when(col["z"] == 0, F.lit(0)).otherwise(index))
-    return made.withColumn(out, found).drop(*(f"_h{n}" for n in col))
+    return df.withColumn(out, tile_id(F.col(z), F.col(x), F.col(y)))
 
 
 def tile_zxy(tile: Column) -> Column:

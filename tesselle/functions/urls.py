@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Groups: version, style, json suffix, z, x, y. The dot before ``mvt`` stands for any character.
+#: Fixed value, the language of paths. Groups: version, style, json suffix, z, x, y. The dot before ``mvt`` stands for any character.
 PATH = r"^/v([0-9]+)(?:/style/(\w+)(?:\.json)?|(\.json)|/(\d+)/(\d+)/(\d+).mvt)?\z"
 PATH_DOTTED = PATH.replace(".mvt", r"\.mvt")
 
 #: Origin of a request that names none.
 MISSING_ORIGIN = "http://missing.url"
 
-#: Public suffixes of two labels that ``apex_domain`` knows; any other suffix has one label.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.za", "com.br")
+#: Second-level labels that registries keep to themselves below a country's code.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 
 
 def path_of(url: Column) -> Column:
@@ -40,14 +40,18 @@ def host(origin: Column) -> Column:
     return F.try_parse_url(F.coalesce(origin, F.lit(MISSING_ORIGIN)), F.lit("HOST"))
 
 
-def apex_domain(origin: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """Registrable domain of an origin; the host itself where it has one label or is an address."""
+def apex_domain(origin: Column, second_level: tuple[str, ...] = SECOND_LEVEL) -> Column:
+    """Registrable domain of an origin; the host itself where it has one label or is an address.
+
+    A suffix has one label, or two where the last is a country's code of two letters and the one
+    before it is among ``second_level``.
+    """
     name = F.lower(host(origin))
-    two = "|".join(s.replace(".", r"\.") for s in suffixes)
-    found = F.regexp_extract(name, rf"([^.]+\.(?:{two}|[^.]+))\z", 1)
-    deep = F.regexp_extract(name, rf"([^.]+\.(?:{two}))\z", 1)
+    two = rf"(?:{'|'.join(second_level)})\.[a-z]{{2}}"
+    found = F.regexp_extract(name, r"([^.]+\.[^.]+)\z", 1)
+    deep = F.regexp_extract(name, rf"([^.]+\.{two})\z", 1)
     best = F.when(deep != "", deep).otherwise(found)
-    return F.when(name.rlike(r"^[0-9.]+\z") | (best == ""), name).otherwise(best)
+    return F.when(name.rlike(r"^[0-9.]+\z") | name.startswith("[") | (best == ""), name).otherwise(best)
 
 
 def tile_url(scheme_and_host: Column, version: Column) -> Column:

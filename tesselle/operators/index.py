@@ -1,7 +1,7 @@
 """From directory entries to an index: offsets, chunks, packed rows and back.
 
-Running sums go block by block: sums within blocks of keys, then the totals of blocks, which are
-summed the same way until few are left. No window spans the whole table but over block totals.
+Running values (sums, maxima) go block by block: within blocks of keys, then over the totals of blocks
+the same way, so that the one window without a partition has a row for some 17 million entries.
 """
 
 from __future__ import annotations
@@ -19,18 +19,23 @@ ROW_ENTRIES = 50
 BLOCK = 4096
 
 
-def prefix_sum(df: DataFrame, value: str, order: str, out: str, levels: int = 2, block: int = BLOCK) -> DataFrame:
-    """Adds the sum of ``value`` over all rows with a lower ``order``, which is a unique whole number."""
+def running(df: DataFrame, value: Column, order: str, out: str, combine=F.max, levels: int = 2, block: int = BLOCK) -> DataFrame:
+    """Adds ``combine`` (max or sum) of ``value`` over all rows with a lower ``order``, a unique whole number; null for the first."""
     if levels == 0:
-        before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long"))
+        return df.withColumn(out, combine(value).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
     name, total, ahead = (f"_{x}{levels}" for x in ("block", "total", "ahead"))
     inner = Window.partitionBy(name).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     blocked = df.withColumn(name, F.expr(f"`{order}` div {block}"))
-    totals = blocked.groupBy(name).agg(F.sum(value).alias(total))
-    totals = prefix_sum(totals, total, name, ahead, levels - 1, block).select(name, ahead)
-    own = blocked.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return own.join(totals, name).withColumn(out, (F.col(out) + F.col(ahead)).cast("long")).drop(name, ahead)
+    totals = blocked.groupBy(name).agg(combine(value).alias(total))
+    totals = running(totals, F.col(total), name, ahead, combine, levels - 1, block).select(name, ahead)
+    joined = blocked.withColumn(out, combine(value).over(inner)).join(totals, name)
+    merged = F.coalesce(F.col(out) + F.col(ahead), out, ahead) if combine is F.sum else F.array_max(F.array(out, ahead))
+    return joined.withColumn(out, merged).drop(name, ahead)
+
+
+def prefix_sum(df: DataFrame, value: str, order: str, out: str, levels: int = 2, block: int = BLOCK) -> DataFrame:
+    """Adds the sum of ``value`` over all rows with a lower ``order``, which is a unique whole number."""
+    return running(df, F.col(value), order, out, F.sum, levels, block).withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
 
 
 def undelta(df: DataFrame, delta: str, group: str, order: str, out: str) -> DataFrame:
@@ -60,13 +65,7 @@ def chunk_of(offset: Column, size: int = CHUNK_BYTES) -> Column:
 
 def running_max_chunk(entries: DataFrame, block: int = BLOCK, position: str = "pos") -> DataFrame:
     """Adds prev_max, the largest chunk_id of any earlier entry, block by block."""
-    blocked = entries.withColumn("_block", F.expr(f"`{position}` div {block}"))
-    inner = Window.partitionBy("_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    tops = blocked.groupBy("_block").agg(F.max("chunk_id").alias("_top"))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("_block", F.max("_top").over(earlier).alias("_earlier"))
-    own = blocked.withColumn("_own", F.max("chunk_id").over(inner))
-    return own.join(tops, "_block").withColumn("prev_max", F.greatest("_own", "_earlier")).drop("_block", "_own", "_earlier")
+    return running(entries, F.col("chunk_id"), position, "prev_max", block=block)
 
 
 def in_order(entries: DataFrame, **kw) -> DataFrame:
@@ -76,13 +75,8 @@ def in_order(entries: DataFrame, **kw) -> DataFrame:
 
 def boundaries(entries: DataFrame, block: int = BLOCK, position: str = "pos") -> DataFrame:
     """Entries that begin another chunk than the previous entry is in; the first one too."""
-    blocked = entries.withColumn("_block", F.expr(f"`{position}` div {block}"))
-    inner = Window.partitionBy("_block").orderBy(position)
-    last = blocked.groupBy("_block").agg(F.max_by("chunk_id", position).alias("_last"))
-    last = last.select("_block", F.lag("_last").over(Window.orderBy("_block")).alias("_before"))
-    own = blocked.withColumns({"_prev": F.lag("chunk_id").over(inner), "_nth": F.row_number().over(inner)})
-    own = own.join(last, "_block").withColumn("_prev", F.when(F.col("_nth") == 1, F.col("_before")).otherwise(F.col("_prev")))
-    return own.where("_prev IS NULL OR _prev <> chunk_id").drop("_block", "_prev", "_nth", "_before")
+    seen = running(entries, F.struct(F.col(position).alias("at"), F.col("chunk_id").alias("chunk")), position, "_prev", block=block)
+    return seen.where("_prev IS NULL OR NOT (_prev.chunk <=> chunk_id)").drop("_prev")
 
 
 def chunks(entries: DataFrame) -> DataFrame:
@@ -148,7 +142,7 @@ def overlapping(entries: DataFrame, cuts: list | None = None) -> DataFrame:
     firsts = ranged.groupBy("_range").agg(F.min("tile_id").alias("_first"))
     ahead = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_ahead"))
     w = Window.partitionBy("_range").orderBy("tile_id", "pos")
-    own = ranged.withColumn("_next", F.lead("tile_id").over(w)).join(F.broadcast(ahead), "_range")
+    own = ranged.withColumn("_next", F.lead("tile_id").over(w)).join(ahead, "_range")
     return own.where("coalesce(_next, _ahead) < tile_id + run_length").drop("_range", "_next", "_ahead")
 
 

@@ -12,6 +12,8 @@ from ..functions.maps import merged
 #: Fixed value: seconds that a client may keep a response, 31 days.
 MAX_AGE = 60 * 60 * 24 * 31
 
+#: Fixed values, as they stand in responses.
+KEY_HEADER = "PMTiles-Deployment-Key"
 CONTENT_TYPES = {"tile": "application/vnd.mapbox-vector-tile", "json": "application/json", "style": "application/json"}
 
 
@@ -45,6 +47,35 @@ def status(method: Column, request_type: Column, z: Column, x: Column, y: Column
     return rules.when(request_type == "tile", tile).when(request_type.isin("json", "style"), 200).otherwise(404)
 
 
+#: Fixed value: what a worker of the proxy kind answers to everything.
+PROXY_TEXT = "get out of here"
+
+
+def answered(status: Column, broken: Column, worker_type: Column | None = None) -> Column:
+    """struct<status, body, flushed>: the response around that of the request's own handling.
+
+    A worker of the proxy kind answers a fixed text; an error outside the handling (``broken``) gives
+    500, and then the points gathered so far are not sent.
+    """
+    proxy = F.lit(False) if worker_type is None else F.coalesce(worker_type == "D1_PROXY", F.lit(False))
+    wrong = F.coalesce(broken, F.lit(False))
+    return F.struct(
+        F.when(proxy, 200).when(wrong, 500).otherwise(status).alias("status"),
+        F.when(proxy, PROXY_TEXT).when(wrong, "Internal Server Error").alias("body"),
+        (~proxy & ~wrong).alias("flushed"),
+    )
+
+
+def binding(environment: Column, own: Column, shared: Column) -> Column:
+    """What a name stands for: the environment's own resource, or the shared one in production."""
+    return F.when(environment != "prod", own).otherwise(shared)
+
+
+def json_cache_key(key: Column) -> Column:
+    """The key under which a JSON object is cached: itself."""
+    return key
+
+
 def cacheable(status: Column, request_type: Column) -> Column:
     """Whether a response is put into the cache: found ones, and paths that match nothing."""
     return (status == 200) | ((status == 404) & request_type.isNull())
@@ -57,7 +88,7 @@ def headers(deployment_key: Column, request_type: Column) -> Column:
         F.lit("Cache-Control"), F.lit(f"public, max-age={MAX_AGE}"),
         F.lit("Access-Control-Allow-Origin"), F.lit("*"),
         F.lit("Vary"), F.lit("Origin"),
-        F.lit("PMTiles-Deployment-Key"), deployment_key,
+        F.lit(KEY_HEADER), deployment_key,
         F.lit("Content-Type"), kind[request_type],
     )
     gzip = F.when(request_type == "tile", F.create_map(F.lit("Content-Encoding"), F.lit("gzip"))).otherwise(F.create_map().cast("map<string,string>"))

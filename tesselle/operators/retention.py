@@ -12,9 +12,9 @@ def not_live(names: DataFrame, deployment_key: str, name: str = "name") -> DataF
 
 
 def outside_prefix(objects: DataFrame, deployment_key: str, regions: DataFrame, branch: str = "main", path: str = "path") -> DataFrame:
-    """Objects of every region outside /<key>/; nothing on another branch than main. Regions are a handful."""
+    """Objects of every region outside /<key>/; nothing on another branch than main. Broadcast is the engine's choice, by size."""
     doomed = objects.where(~F.col(path).startswith(f"/{deployment_key}/")) if branch == "main" else objects.where(F.lit(False))
-    return doomed.crossJoin(F.broadcast(regions))
+    return doomed.withColumn("_all", F.lit(1)).join(regions.withColumn("_all", F.lit(1)), "_all").drop("_all")
 
 
 def unreferenced(objects: DataFrame, live: DataFrame, key: str) -> DataFrame:

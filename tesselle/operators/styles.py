@@ -66,5 +66,5 @@ def write(styles: DataFrame, path: str) -> None:
 
 
 def matrix(theme_rows: DataFrame, template: DataFrame) -> DataFrame:
-    """Every theme with every row of a template; themes are a handful."""
-    return template.crossJoin(F.broadcast(theme_rows))
+    """Every theme with every row of a template."""
+    return template.withColumn("_all", F.lit(1)).join(theme_rows.withColumn("_all", F.lit(1)), "_all").drop("_all")

@@ -50,6 +50,31 @@ def metric_name(prefix: Column, name: Column) -> Column:
     return F.concat_ws("_", prefix, name)
 
 
+#: The operations that are watched, whose points are named with the service's prefix.
+OPERATIONS = (
+    "handle_request",
+    "match_request_from_cdn",
+    "pmtiles_init",
+    "tile_request",
+    "json_request",
+    "style_request",
+    "d1_lookup",
+    "find_tile_leaf_directory",
+    "get_tile",
+)
+
+
+def elapsed(start: Column, end: Column) -> Column:
+    """Milliseconds between two timestamps."""
+    return (F.unix_micros(end) - F.unix_micros(start)) / 1000.0
+
+
+def fan_out(points: DataFrame, providers: dict[str, Column]) -> DataFrame:
+    """Each point for each provider: ``provider`` and what that makes of it, ``item``; nothing where that is null."""
+    made = F.filter(F.array(*(F.struct(F.lit(n).alias("provider"), c.alias("item")) for n, c in providers.items())), lambda x: x["item"].isNotNull())
+    return points.withColumn("_p", F.explode(made)).select("*", "_p.provider", "_p.item").drop("_p")
+
+
 def field(value: Column, kind: str) -> Column:
     return F.struct(value.cast("double").alias("value"), F.lit(kind).alias("type"))
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import radix64
 from ..operators import index as ix
 from ..operators import retention, styles
-from .derive import ENTRIES, KEY, bare_entries, entries, table
+from ..sources import archive
+from .derive import ENTRIES, KEY, MAX_ZOOM, bare_entries, entries, shared_folder, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -204,3 +209,43 @@ def json_values(spark, sf_dir):
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_required(spark, sf_dir):
     return retention.required(table(spark, sf_dir, "events").select("event_id", "props"), "props", "$.k", "k").select("event_id", "k")
+
+
+# --- a written archive, read back
+
+@query(f'WITH {ENTRIES} SELECT leaf, CAST(row_number() OVER (PARTITION BY leaf ORDER BY tile_id) - 1 AS INTEGER) AS i, tile_id, "offset", length, run_length FROM entries')
+def directory_coding(spark, sf_dir):
+    return archive.decoded_leaves(archive.encoded_leaves(entries(spark, sf_dir)))
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> str:
+    """The place of an archive of the test entries, without tile bytes."""
+    e = entries(spark, sf_dir)
+    folder = shared_folder(spark, "archives").removeprefix("file:").replace("//", "/")
+    os.makedirs(folder, exist_ok=True)
+    weakref.finalize(spark, shutil.rmtree, folder, True)
+    path = f"{folder}/test.pmtiles"
+    end = e.agg(F.max(F.col("offset") + F.col("length"))).first()[0] or 0
+    archive.write_directories(archive.encoded_leaves(e), path, {"name": "planet", "vector_layers": [{"id": "water"}]}, end, max_zoom=MAX_ZOOM, min_lon=-180, max_lat=85.5, center_zoom=2, center_lat=-1.25)
+    archive.register(spark)
+    return path
+
+
+#: Leaves are numbered from 0 on in an archive.
+@query(f'WITH {ENTRIES} SELECT CAST(dense_rank() OVER (ORDER BY leaf) - 1 AS INTEGER) AS leaf, row_number() OVER (PARTITION BY leaf ORDER BY tile_id) - 1 AS i, tile_id, "offset", length, run_length FROM entries')
+def archive_entries(spark, sf_dir):
+    read = spark.read.format("tilearchive").load(_archive(spark, sf_dir))
+    return read.select("leaf", (F.col("pos") - F.shiftleft(F.col("leaf").cast("long"), 32)).alias("i"), "tile_id", "offset", "length", "run_length")
+
+
+@query(f"""WITH {ENTRIES} SELECT 3 AS spec_version, count(*) AS tile_entries, CAST(max("offset" + length) AS BIGINT) AS data_length, true AS clustered, 2 AS internal_compression, 1 AS tile_type,
+    {MAX_ZOOM} AS max_zoom, -180.0::DOUBLE AS min_lon, 85.5::DOUBLE AS max_lat, 2 AS center_zoom, -1.25::DOUBLE AS center_lat FROM entries""")
+def archive_header(spark, sf_dir):
+    read = spark.read.format("tilearchive").option("part", "header").load(_archive(spark, sf_dir))
+    return read.select("spec_version", "tile_entries", "data_length", "clustered", "internal_compression", "tile_type", "max_zoom", "min_lon", "max_lat", "center_zoom", "center_lat")
+
+
+@query("SELECT 'planet' AS name, 'water' AS layer")
+def archive_metadata(spark, sf_dir):
+    read = spark.read.format("tilearchive").option("part", "metadata").load(_archive(spark, sf_dir))
+    return read.select(F.get_json_object("metadata", "$.name").alias("name"), F.get_json_object("metadata", "$.vector_layers[0].id").alias("layer"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,18 @@ from ..operators import index as ix
 from ..operators import telemetry as tm
 
 KEY = "20250818"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one; a local one only where none is set and Spark is on one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="tesselle-")
+    return f"{where.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
 MAX_ZOOM = 8
 
 

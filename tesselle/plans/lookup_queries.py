@@ -155,7 +155,14 @@ def tile_lookup_bytes(spark, sf_dir):
     return lk.read_ranges(located, docs.selectExpr("doc_id AS chunk_id", "text AS data")).select("chunk_id", "offset", "length", "bytes")
 
 
-@query(f"WITH {ENTRIES}, s AS (SELECT chunk_id, min(\"offset\") AS start_byte FROM entries GROUP BY chunk_id) SELECT tile_id, format('chunk_{{}}.pmtiles', chunk_id) AS object, \"offset\" - start_byte AS first_byte, \"offset\" - start_byte + length - 1 AS last_byte FROM entries JOIN s USING (chunk_id) WHERE tile_id % 35 = 0")
+@query("SELECT doc_id AS chunk_id, n // 3 AS \"offset\", 16 AS length, substr(h, CAST(2 * (n // 3) + 1 AS BIGINT), 32) AS bytes FROM (SELECT doc_id, hex(encode(text)) AS h, length(hex(encode(text))) // 2 AS n FROM documents)")
+def tile_lookup_blob(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS chunk_id", "encode(text, 'UTF-8') AS data")
+    located = docs.selectExpr("chunk_id", "octet_length(data) div 3 AS offset", "16 AS length")
+    return lk.read_ranges(located, docs).select("chunk_id", "offset", "length", F.hex("bytes").alias("bytes"))
+
+
+@query(f"WITH {ENTRIES}, s AS (SELECT chunk_id, min(\"offset\") AS start_byte FROM entries GROUP BY chunk_id) SELECT tile_id, format('chunk_{{}}.pmtiles', chunk_id) AS object, \"offset\" - start_byte AS first_byte, \"offset\" - start_byte + length - 1 AS last_byte FROM entries JOIN s USING (chunk_id)")
 def object_ranges(spark, sf_dir):
     from .derive import entries
 
@@ -227,3 +234,38 @@ def error_points(spark, sf_dir):
     tags, fields = tm.error_point(F.col("props"))
     made = table(spark, sf_dir, "events").where("event_type = 'error'").select(tags.alias("t"), tm.line_protocol(F.lit("error"), tags, fields).alias("line"))
     return made.agg(F.count("t").alias("kept"), F.count("line").alias("sent"))
+
+
+NAMES = "[" + ", ".join(f"'{n}'" for n in tm.OPERATIONS) + "]"
+
+
+@query(f"SELECT event_id, 'tiles_' || {NAMES}[1 + event_id % {len(tm.OPERATIONS)}] AS name FROM events")
+def metric_names(spark, sf_dir):
+    names = F.array(*(F.lit(n) for n in tm.OPERATIONS))
+    return table(spark, sf_dir, "events").select("event_id", tm.metric_name(F.lit("tiles"), F.get(names, (F.col("event_id") % len(tm.OPERATIONS)).cast("int"))).alias("name"))
+
+
+@query("""SELECT event_id, 'header' AS provider, event_type || ';dur=' || CAST(floor(value) AS BIGINT) AS item FROM events WHERE user_id % 3 > 0
+    UNION ALL SELECT event_id, 'influx', event_type || ' duration=' || CAST(floor(value) AS BIGINT) || 'i' FROM events""")
+def metric_fan_out(spark, sf_dir):
+    duration = F.floor("value")
+    line = tm.line_protocol(F.col("event_type"), F.create_map().cast("map<string,string>"), F.create_map(F.lit("duration"), tm.field(F.col("value"), "duration")))
+    header = F.when(F.col("user_id") % 3 > 0, tm.timing(F.col("event_type"), F.lit("duration"), duration.cast("string")))
+    return tm.fan_out(table(spark, sf_dir, "events"), {"influx": line, "header": header}).select("event_id", "provider", "item")
+
+
+@query(f"""WITH {PATHS}, s AS (SELECT *, {STATUS.format(cached='')} AS status FROM parsed)
+    SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 200 WHEN event_id % 17 = 0 THEN 500 ELSE status END AS status,
+    CASE WHEN event_id % 13 = 0 THEN 'get out of here' WHEN event_id % 17 = 0 THEN 'Internal Server Error' END AS body, event_id % 13 > 0 AND event_id % 17 > 0 AS flushed FROM s""")
+def response_outside_handling(spark, sf_dir):
+    s = _status(_parsed(spark, sf_dir))
+    kind = F.when(F.col("event_id") % 13 == 0, "D1_PROXY").otherwise("LOADER")
+    return s.select("event_id", rq.answered(F.col("status"), F.col("event_id") % 17 == 0, kind).alias("a")).select("event_id", "a.*")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'global_db' ELSE 'dev_db' END AS bound, 'k' || event_id AS cache_key, (epoch_us(ts) % 1000) / 1000.0::DOUBLE AS elapsed_ms FROM events")
+def environment_binding(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    start = F.timestamp_micros(F.unix_micros("ts") - F.unix_micros("ts") % 1000)
+    bound = rq.binding(F.when(F.col("event_id") % 3 == 0, "prod").otherwise("dev"), F.lit("dev_db"), F.lit("global_db"))
+    return e.select("event_id", bound.alias("bound"), rq.json_cache_key(F.concat(F.lit("k"), F.col("event_id").cast("string"))).alias("cache_key"), tm.elapsed(start, F.col("ts")).alias("elapsed_ms"))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import telemetry as tm
 from ..streaming import alerts
-from .derive import SAMPLES, samples, spread, table
+from .derive import SAMPLES, samples, shared_folder, spread, table
 
 QUERIES, ORACLES = {}, {}
 MIN, H, D = tm.MINUTE, tm.HOUR, tm.DAY
@@ -148,11 +145,7 @@ RULES = (alerts.Rule("errors_held", 0.99, 2 * H, 1, H), alerts.Rule("errors_floo
 def alert_rule_states(spark, sf_dir):
     errors = tm.matching(samples(spark, sf_dir), {"metric": "error"})
     counts = tm.aggregate(tm.rollup(errors, "count", H, H, ["metric", "colo"]), "sum")
-    out = None
-    for rule in RULES:
-        made = alerts.states(counts, rule)
-        out = made if out is None else out.unionByName(made)
-    return out
+    return alerts.all_states(counts, RULES)
 
 
 @query(f"WITH {SAMPLES}, c AS (SELECT domain, t_us, value FROM samples WHERE t_us > (SELECT max(t_us) FROM samples) - {6 * H}) SELECT domain, arg_max(value, t_us) AS v, max(t_us) AS t_us FROM c GROUP BY domain")
@@ -179,11 +172,6 @@ def repeat_by_label(spark, sf_dir):
     return tm.aggregate(tm.rollup(chosen, "count", D, D, ["metric", "colo"]), "sum", ["colo"])
 
 
-def _scratch(spark) -> str:
-    """A folder below the shared one; a local one only where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/streams/{uuid.uuid4().hex}"
-
-
 def _event_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -193,6 +181,19 @@ def _event_stream(spark, sf_dir):
 def stream_windowed_counts(spark, sf_dir):
     stream = _event_stream(spark, sf_dir).select("ts", F.col("event_type").alias("metric"), F.col("value").cast("decimal(18,2)").alias("value"))
     made = alerts.windowed_counts(stream, "6 hours", "1 hour", ["metric"])
-    place = _scratch(spark)
+    place = shared_folder(spark, "streams")
+    done = alerts.run_to_table(made, f"{place}/out", f"{place}/state", "complete")
+    return done.select(F.unix_micros("t").alias("t_us"), "metric", F.col("total").cast("double").alias("total"), "n")
+
+
+#: What a stream has written when it has seen all events: windows that ended before the watermark.
+CLOSED = f"t - 1 <= (SELECT max(t_us) FROM samples) - 1 - {5 * MIN}"
+
+
+@query(f"WITH {SAMPLES}, {spread('samples', 6 * H, H)} SELECT t AS t_us, metric, CAST(sum(value::DECIMAL(18,2)) AS DOUBLE) AS total, CAST(count(*) AS BIGINT) AS n FROM spread WHERE {CLOSED} GROUP BY t, metric")
+def stream_closed_windows(spark, sf_dir):
+    stream = _event_stream(spark, sf_dir).select("ts", F.col("event_type").alias("metric"), F.col("value").cast("decimal(18,2)").alias("value"))
+    made = alerts.windowed_counts(stream, "6 hours", "1 hour", ["metric"])
+    place = shared_folder(spark, "streams")
     done = alerts.run_to_table(made, f"{place}/out", f"{place}/state")
     return done.select(F.unix_micros("t").alias("t_us"), "metric", F.col("total").cast("double").alias("total"), "n")

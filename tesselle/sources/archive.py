@@ -6,9 +6,10 @@ and plans a partition for each run of leaf directories; executors read their lea
 path must be one that driver and executors can open.
 
 The layout is the published one: numbers are little-endian, directories are columns of varints
-(count, id deltas, run lengths, lengths, offsets) and may be compressed with gzip. Entries of the
-root must point to leaves; a root that holds tiles itself raises an error, as does a directory
-without entries or one whose first offset is coded 0.
+(count, id deltas, run lengths, lengths, offsets) and may be compressed with gzip. An entry with run
+length 0 points to a further directory, any other one is tiles; both may stand in any directory, and
+directories may nest ``MAX_DEPTH`` deep. A directory without entries, or one whose first offset is
+coded 0, raises an error.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fixed values of the format.
@@ -31,6 +33,8 @@ TILE_TYPES = ("unknown", "mvt", "png", "jpeg", "webp", "avif")
 LONGS = ("root_offset", "root_length", "metadata_offset", "metadata_length", "leaf_offset", "leaf_length", "data_offset", "data_length", "addressed_tiles", "tile_entries", "tile_contents")
 
 HEADER_SCHEMA = "spec_version int, " + ", ".join(f"{n} long" for n in LONGS) + ", clustered boolean, internal_compression int, tile_compression int, tile_type int, min_zoom int, max_zoom int, min_lon double, min_lat double, max_lon double, max_lat double, center_zoom int, center_lon double, center_lat double"
+#: Directories within directories, which also ends a circle of them.
+MAX_DEPTH = 8
 ENTRY_SCHEMA = "leaf int, pos long, tile_id long, offset long, length long, run_length long"
 
 
@@ -156,9 +160,79 @@ def write_archive(path: str, tiles: list[tuple[int, int, bytes]], metadata: dict
         f.write(encode_header(h) + root_raw + meta_raw + bytes(leaves) + bytes(data))
 
 
+def encoded_leaves(entries: DataFrame, codec: int = 2) -> DataFrame:
+    """leaf, first (its first tile id), directory (encoded and compressed) and n of entries (leaf, tile_id, offset,
+    length, run_length): a leaf, of a bounded number of entries, is a group."""
+
+    def encode(key: tuple, group: pa.Table) -> pa.Table:
+        columns = [group.sort_by("tile_id").column(c).to_numpy() for c in ("tile_id", "offset", "length", "run_length")]
+        raw = encode_directory(*columns)
+        return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "first": pa.array(columns[0][:1], pa.int64()), "directory": pa.array([gzip.compress(raw, mtime=0) if codec == 2 else raw], pa.binary()), "n": pa.array([len(columns[0])], pa.int64())})
+
+    narrow = entries.selectExpr("CAST(leaf AS LONG) AS leaf", *(f"CAST({c} AS LONG) AS {c}" for c in ("tile_id", "`offset`", "length", "run_length")))
+    return narrow.groupBy("leaf").applyInArrow(encode, "leaf long, first long, directory binary, n long")
+
+
+def decoded_leaves(leaves: DataFrame, codec: int = 2) -> DataFrame:
+    """leaf, i, tile_id, offset, length, run_length of encoded directories (leaf, directory)."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for leaf, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                d = decode_directory(decompress(raw, codec))
+                n = len(d["tile_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, leaf)), pa.array(np.arange(n, dtype=np.int32)), *(pa.array(d[c]) for c in ("tile_id", "offset", "length", "run_length"))], names=["leaf", "i", "tile_id", "offset", "length", "run_length"])
+
+    return leaves.select("leaf", "directory").mapInArrow(decode, "leaf long, i int, tile_id long, offset long, length long, run_length long")
+
+
+def write_directories(leaves: DataFrame, path: str, metadata: dict, data_length: int, codec: int = 2, **header) -> None:
+    """An archive of encoded leaves (as encoded_leaves() makes them) with an empty data section of a given length.
+
+    The driver holds one leaf at a time, and of each only its first tile id and its place.
+    """
+    packed = (lambda raw: gzip.compress(raw, mtime=0)) if codec == 2 else bytes
+    meta, at, root, entries = packed(json.dumps(metadata).encode()), HEADER_BYTES, [], 0
+    h = dict(header, internal_compression=codec, tile_type=1)
+    with open(path, "wb") as f:
+        f.seek(at)
+        f.write(meta)
+        h["metadata_offset"], h["metadata_length"] = at, len(meta)
+        h["leaf_offset"] = at = at + len(meta)
+        for row in leaves.orderBy("first").toLocalIterator():
+            f.write(row["directory"])
+            root.append((row["first"], at - h["leaf_offset"], len(row["directory"]), 0))
+            at, entries = at + len(row["directory"]), entries + row["n"]
+        h["leaf_length"] = at - h["leaf_offset"]
+        raw = packed(encode_directory(*zip(*root)))
+        f.write(raw)
+        h["root_offset"], h["root_length"] = at, len(raw)
+        h["data_offset"], h["data_length"], h["tile_entries"] = at + len(raw), data_length, entries
+        f.truncate(at + len(raw) + data_length)
+        f.seek(0)
+        f.write(encode_header(h))
+
+
 class Leaves(InputPartition):
-    def __init__(self, first: int, ranges: list[tuple[int, int]], codec: int):
-        self.first, self.ranges, self.codec = first, ranges, codec
+    """Parts of the root in order: (number, offset, length) of a directory, or (number, entries) of tiles in the root itself."""
+
+    def __init__(self, parts: list[tuple], base: int, codec: int):
+        self.parts, self.base, self.codec = parts, base, codec
+
+
+def flattened(path: str, base: int, codec: int, d: dict[str, np.ndarray], depth: int = 1) -> Iterator[dict[str, np.ndarray]]:
+    """The tile entries of a directory and of those it points to, in order, a piece at a time."""
+    if depth > MAX_DEPTH:
+        raise ValueError(f"directories are nested over {MAX_DEPTH} deep")
+    points = np.flatnonzero(d["run_length"] == 0)
+    start = 0
+    for at in [*points, len(d["tile_id"])]:
+        if at > start:
+            yield {k: v[start:at] for k, v in d.items()}
+        if at < len(d["tile_id"]):
+            inner = decode_directory(decompress(read_range(path, base + int(d["offset"][at]), int(d["length"][at])), codec))
+            yield from flattened(path, base, codec, inner, depth + 1)
+        start = at + 1
 
 
 class ArchiveReader(DataSourceReader):
@@ -176,10 +250,17 @@ class ArchiveReader(DataSourceReader):
         h = self.header()
         codec = h["internal_compression"]
         root = decode_directory(decompress(read_range(self.path, h["root_offset"], h["root_length"]), codec))
-        if root["run_length"].any():
-            raise ValueError("the root directory holds tiles; only archives of two levels are read")
-        ranges = [(int(o) + h["leaf_offset"], int(n)) for o, n in zip(root["offset"], root["length"])]
-        return [Leaves(i, ranges[i : i + self.per_partition], codec) for i in range(0, len(ranges), self.per_partition)]
+        base, parts, i = h["leaf_offset"], [], 0
+        points = root["run_length"] == 0
+        while i < len(points):
+            if points[i]:
+                parts.append((i, int(root["offset"][i]), int(root["length"][i])))
+                i += 1
+            else:
+                stop = i + int(np.argmax(np.append(points[i:], True)))
+                parts.append((i, {k: v[i:stop] for k, v in root.items()}))
+                i = stop
+        return [Leaves(parts[k : k + self.per_partition], base, codec) for k in range(0, len(parts), self.per_partition)]
 
     def read(self, partition: InputPartition) -> Iterator:
         if self.part == "header":
@@ -189,16 +270,16 @@ class ArchiveReader(DataSourceReader):
             h = self.header()
             yield (decompress(read_range(self.path, h["metadata_offset"], h["metadata_length"]), h["internal_compression"]).decode(),)
         else:
-            for i, (offset, length) in enumerate(partition.ranges):
-                d = decode_directory(decompress(read_range(self.path, offset, length), partition.codec))
-                if not d["run_length"].all():
-                    raise ValueError("a leaf directory points to further directories")
-                n = len(d["tile_id"])
-                leaf = partition.first + i
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, leaf, np.int32)), pa.array((np.int64(leaf) << 32) + np.arange(n)), *(pa.array(d[c]) for c in ("tile_id", "offset", "length", "run_length"))],
-                    names=["leaf", "pos", "tile_id", "offset", "length", "run_length"],
-                )
+            for number, *place in partition.parts:
+                d = place[0] if len(place) == 1 else decode_directory(decompress(read_range(self.path, partition.base + place[0], place[1]), partition.codec))
+                at = 0
+                for piece in flattened(self.path, partition.base, partition.codec, d):
+                    n = len(piece["tile_id"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, number, np.int32)), pa.array((np.int64(number) << 32) + at + np.arange(n)), *(pa.array(piece[c]) for c in ("tile_id", "offset", "length", "run_length"))],
+                        names=["leaf", "pos", "tile_id", "offset", "length", "run_length"],
+                    )
+                    at += n
 
 
 class ArchiveSource(DataSource):

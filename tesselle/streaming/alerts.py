@@ -7,7 +7,7 @@ data counts as a condition that does not hold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -52,18 +52,24 @@ def reduce_last(rolled: DataFrame, by: Sequence[str], now: Column, span: int = R
     return recent.groupBy(*by).agg(F.max_by("v", "t_us").alias("v"), F.max("t_us").alias("t_us"))
 
 
+def all_states(rolled: DataFrame, rules: Sequence[Rule], by: Sequence[str] = ()) -> DataFrame:
+    """states() of several rules, from one pass over the values: each row is tested once for each rule."""
+    tests = F.array(*(F.when(condition(F.col("v"), r), F.struct(*(F.lit(x).alias(n) for n, x in (("rule", r.name), ("severity", r.severity), ("_hold", r.hold), ("_step", r.step))))) for r in rules))
+    held = rolled.withColumn("_r", F.explode(F.filter(tests, lambda x: x.isNotNull()))).select("t_us", *by, "v", "_r.*")
+    order = Window.partitionBy("rule", *by).orderBy("t_us")
+    begins = F.coalesce((F.col("t_us") - F.lag("t_us").over(order) > F.col("_step")).cast("int"), F.lit(1))
+    runs = held.withColumn("_begin", F.when(begins == 1, F.col("t_us")))
+    since = F.last("_begin", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    state = F.when(F.col("t_us") - since >= F.col("_hold"), "firing").otherwise("pending")
+    return runs.select("t_us", *by, "v", "rule", "severity", state.alias("state"))
+
+
 def states(rolled: DataFrame, rule: Rule, by: Sequence[str] = ()) -> DataFrame:
     """t_us, labels, v, rule, severity, state at each evaluation where the condition holds.
 
     Evaluations without a row end a run, as a series without data is not above anything.
     """
-    held = rolled.where(condition(F.col("v"), rule))
-    order = Window.partitionBy(*by).orderBy("t_us")
-    begins = F.coalesce((F.col("t_us") - F.lag("t_us").over(order) > rule.step).cast("int"), F.lit(1))
-    runs = held.withColumn("_begin", F.when(begins == 1, F.col("t_us")))
-    since = F.last("_begin", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    state = F.when(F.col("t_us") - since >= rule.hold, "firing").otherwise("pending")
-    return runs.select("t_us", *by, "v", F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"), state.alias("state"))
+    return all_states(rolled, [rule], by)
 
 
 def error_counts(samples: DataFrame) -> DataFrame:
@@ -141,8 +147,32 @@ def write_lines(points: DataFrame, path: str, checkpoint: str, environment: str
     return points.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now; its last complete state, as a written table."""
+def write_points(points: DataFrame, providers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, deferred: Sequence[Callable[[int], None]] = (), every: str = "60 seconds"):
+    """A streaming query that gives each batch of points to several providers, then runs what was deferred.
+
+    A batch is read once. What is deferred runs only after all providers have it, and not where
+    one of them failed; the batch comes again then, so providers must bear to see it twice.
+    """
+
+    def batch(frame: DataFrame, number: int) -> None:
+        kept = frame.persist()
+        try:
+            for provider in providers.values():
+                provider(kept, number)
+        finally:
+            kept.unpersist()
+        for later in deferred:
+            later(number)
+
+    return points.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now, into a written table.
+
+    ``append`` writes a window once, when the watermark has passed it, and then forgets it.
+    ``complete`` keeps every window and rewrites the table with each batch, for small states only.
+    """
 
     def batch(frame: DataFrame, number: int) -> None:
         frame.write.mode("overwrite" if mode == "complete" else "append").parquet(path)

@@ -109,6 +109,47 @@ def test_asof_against_bisection(spark, cuts):
         assert (got[i].entry_start_tile_id, got[i].entry_run_length) == (want or (None, None))
 
 
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_asof_small_and_large_indexes(spark, small):
+    r = random.Random(2)
+    index = [(s, r.randint(0, 9)) for s in sorted({r.randint(5, 5000) for _ in range(300)})]
+    keys = [r.randint(0, 6000) for _ in range(500)] + [None, 4, 5, 100_000] + [77] * 200
+    probes, df = spark.createDataFrame(list(enumerate(keys)), "i int, tile_id long"), spark.createDataFrame(index, "start_tile_id long, run_length int")
+    got = {x.i: x for x in lk.asof_lookup(probes, df, small=small).collect()}
+    assert len(got) == len(keys)
+    for i, want in enumerate(brute(keys, index)):
+        assert (got[i].entry_start_tile_id, got[i].entry_run_length) == (want or (None, None))
+
+
+def test_binary_search_in_an_array(spark):
+    import numpy as np
+
+    starts = np.array([-5, 0, 3, 9, 2**40], np.int64)
+    rows = spark.createDataFrame([(k,) for k in (-6, -5, 0, 2, 3, 9, 10, 2**41, None)], "k long").select("k", lk.at_or_before(F.col("k"), starts).alias("n")).collect()
+    assert [r.n for r in rows] == [0, 1, 2, 2, 3, 4, 4, 5, 0]
+    assert spark.range(1).select(lk.at_or_before(F.col("id"), starts[:0])).first()[0] == 0
+
+
+def test_ranges_of_a_blob_are_cut_once(spark):
+    located = spark.createDataFrame([(i, i % 2, i % 5, 3) for i in range(40)] + [(90, 7, 0, 1), (91, None, 0, 1)], "i long, chunk_id long, offset long, length long")
+    blobs = spark.createDataFrame([(0, bytearray(b"abcdefgh")), (1, bytearray(range(8))), (2, bytearray(b"unused"))], "chunk_id long, data binary")
+    data = {0: b"abcdefgh", 1: bytes(range(8))}
+    got = {r.i: r.bytes and bytes(r.bytes) for r in lk.read_ranges(located, blobs).collect()}
+    assert got == {i: data[i % 2][i % 5 : i % 5 + 3] for i in range(40)} | {90: None, 91: None}
+
+
+def test_running_values_by_recursion(spark):
+    rows = [(i * 3, (i * 7919) % 50) for i in range(600)]
+    df = spark.createDataFrame(rows, "pos long, chunk_id long")
+    got = {r.pos: r.prev_max for r in ix.running(df, F.col("chunk_id"), "pos", "prev_max", levels=3, block=8).collect()}
+    best, want = None, {}
+    for pos, chunk in rows:
+        want[pos], best = best, chunk if best is None else max(best, chunk)
+    assert got == want
+    changes = [r.pos for r in ix.boundaries(df.withColumn("chunk_id", F.expr("pos div 50")), block=8).orderBy("pos").collect()]
+    assert changes == [p for p, q in zip([x[0] for x in rows], [None] + [x[0] for x in rows]) if q is None or p // 50 != q // 50]
+
+
 def test_asof_splitters_and_empty_sides(spark):
     df = spark.range(1000).select((F.col("id") * 7).alias("start_tile_id"), F.lit(1).alias("run_length"))
     cuts = lk.splitters(df, "start_tile_id", rows=100)

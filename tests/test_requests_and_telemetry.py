@@ -66,6 +66,16 @@ def test_line_sink(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a b=1i"]
 
 
+def test_points_go_to_all_providers_and_then_what_was_deferred_runs(spark, tmp_path):
+    spark.createDataFrame([("a",), ("b",)], "line string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream, seen = spark.readStream.schema("line string").parquet(str(tmp_path / "in")), []
+    providers = {n: (lambda frame, number, n=n: seen.append((n, sorted(r.line for r in frame.collect())))) for n in ("influx", "header")}
+    query = alerts.write_points(stream, providers, str(tmp_path / "c"), [lambda number: seen.append(("deferred", number))], every="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert seen == [("influx", ["a", "b"]), ("header", ["a", "b"]), ("deferred", 0)]
+
+
 def test_rollup_windows_and_last(spark):
     rows = [(0, 1, "a", 1.0), (MIN, 2, "a", 2.0), (MIN, 3, "a", 3.0), (MIN + 1, 4, "a", 4.0), (3 * MIN, 5, "b", 5.0)]
     df = spark.createDataFrame(rows, "t_us long, event_id long, s string, value double")

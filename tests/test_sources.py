@@ -73,23 +73,67 @@ def test_whole_path_from_archive_to_tile_bytes(spark, tmp_path, codec):
     assert got == {t + k: b for t, n, b in tiles for k in range(n)}
 
 
-def test_root_with_tiles_is_refused(tmp_path):
-    raw = archive.encode_directory([0], [0], [1], [1])
+def test_tiles_in_the_root_and_nested_directories(spark, tmp_path):
+    """The root holds tiles and pointers; one leaf points further down."""
+    inner = archive.encode_directory([20, 21], [200, 210], [10, 5], [1, 2])
+    leaf = archive.encode_directory([10, 20, 30], [100, 0, 300], [7, len(inner), 9], [3, 0, 1])
+    root = archive.encode_directory([1, 2, 10, 40], [0, 5, len(inner), 400], [5, 6, len(leaf), 8], [1, 2, 0, 1])
     path = tmp_path / "b.pmtiles"
-    path.write_bytes(archive.encode_header({"root_offset": 127, "root_length": len(raw), "internal_compression": 1}) + raw)
-    with pytest.raises(ValueError):
-        archive.ArchiveReader({"path": str(path)}).partitions()
+    at = archive.HEADER_BYTES
+    path.write_bytes(archive.encode_header({"root_offset": at, "root_length": len(root), "leaf_offset": at + len(root), "internal_compression": 1}) + root + inner + leaf)
+    archive.register(spark)
+    got = spark.read.format("tilearchive").option("leavespartition", "1").load(str(path)).orderBy("pos").collect()
+    assert [(r.tile_id, r.offset, r.length, r.run_length) for r in got] == [(1, 0, 5, 1), (2, 5, 6, 2), (10, 100, 7, 3), (20, 200, 10, 1), (21, 210, 5, 2), (30, 300, 9, 1), (40, 400, 8, 1)]
+    assert [r.leaf for r in got] == [0, 0, 2, 2, 2, 2, 3]
+    circle = archive.encode_directory([1], [0], [0], [0])
+    circle = archive.encode_directory([1], [0], [len(circle)], [0])
+    path.write_bytes(archive.encode_header({"root_offset": at, "root_length": len(circle), "leaf_offset": at, "internal_compression": 1}) + circle)
+    with pytest.raises(Exception, match="nested"):
+        spark.read.format("tilearchive").load(str(path)).collect()
+
+
+def test_chunk_objects_from_an_archive(spark, tmp_path):
+    tiles = [(i, 1, bytes([i]) * (1 + i % 7)) for i in range(90)]
+    path, folder = str(tmp_path / "a.pmtiles"), str(tmp_path / "objects")
+    archive.write_archive(path, tiles, {}, leaf_entries=16)
+    archive.register(spark)
+    data_offset = spark.read.format("tilearchive").option("part", "header").load(path).first().data_offset
+    entries = spark.read.format("tilearchive").load(path).withColumn("chunk_id", ix.chunk_of(F.col("offset"), 50))
+    cut = tables.cut_chunks(ix.chunks(entries), path, data_offset)
+    for _ in range(2):  # a second run leaves the same objects
+        names = {r.name: r.bytes for r in tables.write_objects(cut, folder).collect()}
+    stored = {p.name: p.read_bytes() for p in (tmp_path / "objects").iterdir()}
+    assert {n: len(b) for n, b in stored.items()} == names
+    assert b"".join(stored[f"chunk_{i}.pmtiles"] for i in range(len(stored))) == b"".join(t[2] for t in tiles)
+
+
+def test_counters_and_hot_tables(spark, tmp_path):
+    df, seen = tables.counted(spark.range(10).withColumn("n", F.lit(3)), "progress", total="n")
+    df.write.parquet(str(tmp_path / "x"))
+    assert seen.get == {"rows": 10, "total": 30}
+    with tables.hot(spark.range(5)) as kept:
+        assert kept.is_cached and kept.count() == 5
+    assert not kept.is_cached
 
 
 def test_publish_swap_and_retire(spark, tmp_path):
     place = str(tmp_path / "index")
-    for key in ("1", "2"):
+    assert tables.versions(spark, place) == [] and tables.live(spark, place) is None
+    for at, key in enumerate(("1", "2")):
         rows = spark.createDataFrame([(5, key), (1, key)], "start_tile_id long, entry string")
-        tables.publish(spark, "live_index", tables.write_index(rows, place, key, files=1))
+        tables.publish(spark, "live_index", tables.write_index(rows, place, key, files=1), now=100.0 + at)
         assert {r.entry for r in tables.query(spark, "SELECT * FROM live_index WHERE start_tile_id <= ?", 5).collect()} == {key}
-    assert tables.published(spark, "live_index") and tables.retire(spark, place, "2") == ["deployment=1"]
+        assert {r.entry for r in tables.live(spark.newSession(), place).collect()} == {key}  # another reader, which has no view
+    assert tables.published(spark, "live_index")
+    assert tables.retire(spark, place, "2", now=105.0) == []  # replaced a moment ago
+    assert tables.retire(spark, place, "2", now=111.5) == ["deployment=1"]
     tables.write_chunks(spark.createDataFrame([(1, bytearray(b"x"))], "chunk_id long, data binary"), place, "2")
     assert tables.read_objects(spark, place, "2").count() >= 1
-    cache = spark.createDataFrame([("a", 200), ("b", 200)], "url string, status int")
-    new = tables.refresh_cache(cache, spark.createDataFrame([("b", 404)], "url string, status int"))
-    assert sorted(map(tuple, new.collect())) == [("a", 200), ("b", 404)] and tables.backoff_ms(2) == 2250
+
+
+def test_cache_refresh_keeps_one_row_of_a_key(spark):
+    cache = spark.createDataFrame([("a", 200, 0), ("b", 200, 0)], "url string, status int, at int")
+    new = spark.createDataFrame([("b", 404, 2), ("b", 500, 1), ("c", 200, 5), ("c", 201, 5)], "url string, status int, at int")
+    assert sorted(map(tuple, tables.refresh_cache(cache, new, order="at").collect())) == [("a", 200, 0), ("b", 404, 2), ("c", 201, 5)]
+    assert sorted(map(tuple, tables.refresh_cache(cache, new).collect())) == [("a", 200, 0), ("b", 500, 1), ("c", 201, 5)]
+    assert tables.backoff_ms(2) == 2250
