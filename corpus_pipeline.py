@@ -4,7 +4,7 @@ Each stage reads what its predecessor wrote. All but the last return the columns
 
 1. toxicity: documents that score 0.5 or more go.
 2. exact_dedup: of equal texts the smallest doc_id stays.
-3. near_dedup: of documents linked by SimHash the smallest doc_id stays.
+3. near_dedup: of documents linked by SimHash one stays, that of the smallest doc_id.
 4. suffix_dedup: bytes of strings of 200 bytes that occur twice go from the texts; the rows stay.
 5. packing: what is left is tokenised and packed into sequences of 2048 tokens.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesselle.llm import exact, packing, simhash, suffix, toxicity
-from tesselle.llm.common import SharedTable, settle
+from tesselle.llm.common import SharedTable, scratch, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     written = None
     for name, stage in STAGES[:-1]:
-        before, written = written, SharedTable(stage(spark, docs, sf_dir), name)
+        with scratch() as spare:  # what a stage has written on its way goes with it
+            before, written = written, spare(SharedTable(stage(spark, docs, sf_dir), name))
         docs = written.df
         if before:
             before.drop()

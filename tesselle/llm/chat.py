@@ -14,7 +14,8 @@ conversation of any length is the concatenation of its rows.
 Defined cases: a null role or text is the empty string. A null turn comes first; turns with the
 same number are in the order of a hash of role and text. Repeated rows (same conversation, turn,
 role and text) are one turn. Each row with a null conv_id is a conversation of its own. Markup
-inside a role or text is defused. An empty table gives an empty result; other columns are ignored.
+inside a role or text is defused. A very long conversation is several rows; a very long text is in one of
+them. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,7 +104,8 @@ def render(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
     wanted = placed.join(right, on).select(*TURN, "pos", "n", "n_copies")
     wanted = SharedTable(wanted, "wanted").df
     right, on = _null_safe(turned, wanted, TURN)
-    rows = turned.join(right, on).select(*KEY, "pos", "n", "n_copies", message(F.col("role"), F.col("text")).alias("message"))
+    once = turned.groupBy(TURN).agg(F.first("role").alias("role"), F.first("text").alias("text"))  # repeats of a turn, before they meet
+    rows = once.join(right, on).select(*KEY, "pos", "n", "n_copies", message(F.col("role"), F.col("text")).alias("message"))
     rows = rows.withColumn("segment", F.expr(f"cast((pos - 1) div {segment} as int)"))
     joined = rows.groupBy(*KEY, "segment", "n", "n_copies").agg(F.array_sort(F.collect_set(F.struct("pos", "message"))).alias("m"))
     return joined.select(

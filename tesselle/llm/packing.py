@@ -4,14 +4,18 @@ A document's ids are those of a byte-level BPE vocabulary, with an end id behind
 is longer than a sequence is cut into full pieces, the first piece being the rest. Where a piece
 goes depends on its length only, so the plan is made for the counts by length, of which there are
 as many as a sequence has tokens, however large the corpus is: fill a bin greedily with the
-longest pieces that fit, then replace the bin's smallest piece with two unpacked pieces that fit
-its expanded gap more tightly. A bin's pattern is used for as many bins as the counts allow. The
-plan without the replacement step is taken where it has fewer sequences.
+longest pieces that fit, then replace the bin's smallest piece with two unpacked pieces, each at least
+half as long, that fit its expanded gap more tightly. A bin's pattern is used for as many bins as the counts allow.
 Tasks number their own pieces by length; offsets by task and length turn that into ranks, and a
 piece's length and rank name its slot in the plan.
 
+Distinct words are encoded once in a table that each task keeps, of bounded bytes. A text that holds
+a special token's string, as ``<|endoftext|>``, is encoded whole, so that the string becomes that
+token, as the library has it by default.
+
 Defined cases: a null text is the empty text, which has the end id alone. Rows that share an id
-are packed each for itself. An empty table gives an empty result; other columns are ignored.
+are packed each for itself. Texts are worked on in runs of about 2 MB, a longer one alone. An empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import SharedTable, arrow_map, sliced, strings
 
 LENGTH = 2048
-#: Chunks of each half of a task's table, about 150 bytes each.
-TABLE_ROWS = 200_000
+#: Bytes of each half of a task's table, about, and characters of the longest word that it keeps.
+TABLE_BYTES, LONG = 32 << 20, 256
 END_ID = 0
 
 #: A space between two other characters: what follows begins a new word for the tokenizer.
@@ -49,11 +53,12 @@ _tables: dict[tuple, WordTable] = {}
 class WordTable:
     """Ids of distinct words, as 32-bit little-endian bytes; words are cut at single spaces."""
 
-    def __init__(self, vocabulary: str, ranks: str | None, pattern: str | None, rows: int = TABLE_ROWS):
+    def __init__(self, vocabulary: str, ranks: str | None, pattern: str | None, limit: int = TABLE_BYTES):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(vocabulary)
-        self.full.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+        added = [re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.fast = None
         if ranks:
             import tiktoken
@@ -63,10 +68,11 @@ class WordTable:
             self.sizes = np.zeros(max(found.values()) + 1, np.int64)
             self.sizes[list(found.values())] = [len(x) for x in found]
             self.fast = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=found, special_tokens={})
-        self.rows, self.ids, self.older = rows, {}, {}
+        self.limit = limit
+        self.clear()
 
     def clear(self) -> None:
-        self.ids, self.older = {}, {}
+        self.ids, self.older, self.held = {}, {}, 0
 
     def one(self, chunk: str) -> bytes:
         if self.fast is not None and PLAIN.fullmatch(chunk):
@@ -76,15 +82,20 @@ class WordTable:
         return np.array(ids, "<u4").tobytes()
 
     def add(self, words: set[str]) -> None:
-        if len(self.ids) + len(words) > self.rows:
-            self.older, self.ids = self.ids, {}
-        missing = []
+        missing, size = [], 0
         for word in words - self.ids.keys():
+            size += 150 + 2 * len(word)
             found = self.older.get(word)
             if found is None:
                 missing.append(word)
             else:
                 self.ids[word] = found
+        self.held += size
+        if self.held > self.limit:  # what isn't met again goes; this batch's words stay
+            self.older, self.ids, self.held = self.ids, {}, size
+            for word in words:
+                if (found := self.older.get(word)) is not None:
+                    self.ids[word] = found
         if self.fast is not None and missing:
             slow = [] if PLAIN.fullmatch(joined := " ".join(missing)) and not ENDS.search(joined) else [w for w in missing if not PLAIN.fullmatch(w) or w[-1].isspace()]
             if slow:
@@ -108,11 +119,23 @@ class WordTable:
             start = stop
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [GAP.split(t) if NEAR.search(t) else t.split(" ") for t in texts]
-        self.add({w for words in cut for w in words[1:]})
+        special = [bool(self.added and self.added.search(t)) for t in texts]
+        cut = [[] if odd else GAP.split(t) if NEAR.search(t) else t.split(" ") for t, odd in zip(texts, special)]
+        words = {w for found in cut for w in found[1:]}
+        long = [w for w in words if len(w) > LONG]
+        self.add(words.difference(long))
+        for word in long:  # known for this call only
+            self.ids[word] = self.one(" " + word)
         get = self.ids.__getitem__
-        for words in cut:
-            yield b"".join([self.one(words[0]), *map(get, words[1:])]) if words[0] else b""
+        try:
+            for text, odd, found in zip(texts, special, cut):
+                if odd:
+                    yield np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    yield b"".join([self.one(found[0]), *map(get, found[1:])]) if found[0] else b""
+        finally:
+            for word in long:
+                del self.ids[word]
 
 
 def word_table(vocabulary: str, ranks: str | None, pattern: str | None) -> WordTable:
@@ -167,16 +190,6 @@ def pieces_of(docs: DataFrame, vocabulary: str, ranks: str | None = None, patter
 def plan(counts: dict[int, int], length: int = LENGTH) -> np.ndarray:
     """Runs of slots: rows of (length, first rank, end rank, first sequence, offset).
 
-    Replacing spends small pieces early, which does not always pay: the plan without that step is
-    made as well, and the one with fewer sequences is taken, the best-two-fit one on a tie.
-    """
-    plans = [plan_bins(counts, length, replace) for replace in (True, False)]
-    return min(plans, key=lambda runs: (runs[:, 3] + runs[:, 2] - runs[:, 1]).max(initial=0))
-
-
-def plan_bins(counts: dict[int, int], length: int, replace: bool) -> np.ndarray:
-    """A plan with or without the replacement step.
-
     Bins of one pattern are planned together, as many as the scarcest of its lengths allows, so
     each pattern uses a length up or leaves less of it than the pattern holds: the number of
     patterns grows with the lengths, not with the corpus.
@@ -200,7 +213,7 @@ def plan_bins(counts: dict[int, int], length: int, replace: bool) -> np.ndarray:
             bin_.append(size)
             taken[size] += 1
             gap -= size
-        if replace and gap and len(bin_) > 1:
+        if gap and len(bin_) > 1:
             smallest = bin_[-1]
             pair = best_two(left - taken, gap + smallest, smallest)
             if pair:
@@ -221,8 +234,12 @@ def plan_bins(counts: dict[int, int], length: int, replace: bool) -> np.ndarray:
 
 
 def best_two(free: np.ndarray, gap: int, above: int) -> tuple[int, int] | None:
-    """The two free lengths with the largest sum over ``above`` and up to ``gap``; the more even ones on a tie."""
+    """The two free lengths with the largest sum over ``above`` and up to ``gap``; the more even ones on a tie.
+
+    Each is at least half of ``above``, the length they replace: shorter ones are left for gaps that nothing else fits.
+    """
     sizes = np.flatnonzero(free > 0)
+    sizes = sizes[2 * sizes >= above]
     if not len(sizes):
         return None
     at = np.searchsorted(sizes, gap - sizes, "right") - 1  # the longest partner of each

@@ -3,11 +3,13 @@
 No piece of the vocabulary holds a white-space marker after another character (this is checked
 when a model is loaded), so a merge never crosses the place where a run of markers begins. A
 text is cut there into marked words; each distinct marked word is segmented once, and the ids
-are joined back by position. A task keeps its table between batches, emptied by halves when full:
-the results don't depend on it.
+are joined back by position. The table of distinct words is one for each task, of bounded bytes and
+emptied by halves when full: the results don't depend on it. (A table for the whole corpus would
+shuffle every word of every text with its position; see the README for figures.)
 
 Defined cases: a null text is the empty text and has no ids; an empty table gives an empty
-result; repeated rows give repeated results; other columns are ignored.
+result; repeated rows give repeated results; other columns are ignored. Texts are worked on in runs
+of about 2 MB, a longer one alone; a word of over 256 characters is segmented where it is met.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, sliced, strings
 
 MARKER = "▁"
-#: Chunks of each half of a task's table, about 200 bytes each.
-TABLE_ROWS = 200_000
+#: Bytes of each half of a task's table, about, and characters of the longest chunk that it keeps.
+TABLE_BYTES, LONG = 40 << 20, 256
 #: A run of spaces with the word behind it.
 CHUNK = re.compile(r" +[^ ]*")
 
@@ -33,7 +35,7 @@ _tables: dict[str, ChunkTable] = {}
 class ChunkTable:
     """Distinct marked words with their ids, as ``12,345``, and the decoded text where it differs."""
 
-    def __init__(self, model: str, rows: int = TABLE_ROWS):
+    def __init__(self, model: str, limit: int = TABLE_BYTES):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -46,19 +48,27 @@ class ChunkTable:
         self.lead = self.sp.piece_to_id("a")
         self.text = [str(i) for i in range(len(pieces))]
         self.special = frozenset(i for i in range(len(pieces)) if self.sp.is_byte(i) or self.sp.is_unknown(i) or self.sp.is_control(i))
-        self.rows, self.ids, self.older, self.odd = rows, {}, {}, {}
+        self.limit = limit
+        self.clear()
 
     def add(self, chunks: set[str]) -> None:
-        if len(self.ids) + len(chunks) > self.rows:  # what isn't met again goes; the rest comes back from the older half
-            self.older, self.ids = self.ids, {}
-            if len(self.odd) > self.rows:
-                self.older, self.odd = {}, {}
-        missing = []
+        missing, size = [], 0
         for chunk in chunks - self.ids.keys():
+            size += 200 + 6 * len(chunk)
             if (ids := self.older.get(chunk)) is None:
                 missing.append(chunk)
             else:
                 self.ids[chunk] = ids
+        self.held += size
+        if self.held > self.limit:  # what isn't met again goes; these chunks stay
+            self.older, self.ids, self.held = self.ids, {}, size
+            for chunk in chunks:
+                if (ids := self.older.get(chunk)) is not None:
+                    self.ids[chunk] = ids
+            self.odd = {c: d for c, d in self.odd.items() if c in self.ids or c in self.older}
+        self.segment(missing)
+
+    def segment(self, missing: list[str]) -> None:
         # The library puts a marker before what it is given, which stands for a chunk's first space.
         found = self.sp.encode([c[1:] for c in missing], num_threads=1)
         text, special, known = self.text, self.special, self.ids
@@ -72,7 +82,7 @@ class ChunkTable:
                     self.odd[chunk] = decoded
 
     def clear(self) -> None:
-        self.ids, self.older, self.odd = {}, {}, {}
+        self.ids, self.older, self.odd, self.held = {}, {}, {}, 0
 
     def chunks(self, text: str) -> list[str]:
         """Runs of spaces, each with the word behind it; the first has the space that the library adds."""
@@ -81,15 +91,23 @@ class ChunkTable:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids joined by commas, decoded text) of each text."""
         cut = [self.chunks(t) for t in texts]
-        self.add(set().union(*cut))
+        every = set().union(*cut)
+        long = [c for c in every if len(c) > LONG]
+        self.add(every.difference(long))
+        self.segment(long)  # known for this call only
         get, odd = self.ids.__getitem__, self.odd
-        for text, chunks in zip(texts, cut, strict=True):
-            ids = ",".join(map(get, chunks))
-            if odd and not odd.keys().isdisjoint(chunks):
-                decoded = "".join([odd.get(c, c) for c in chunks])[1:]
-            else:
-                decoded = text.replace(MARKER, " ")
-            yield ids, decoded
+        try:
+            for text, chunks in zip(texts, cut, strict=True):
+                ids = ",".join(map(get, chunks))
+                if odd and not odd.keys().isdisjoint(chunks):
+                    decoded = "".join([odd.get(c, c) for c in chunks])[1:]
+                else:
+                    decoded = text.replace(MARKER, " ")
+                yield ids, decoded
+        finally:
+            for chunk in long:
+                del self.ids[chunk]
+                odd.pop(chunk, None)
 
 
 def chunk_table(model: str) -> ChunkTable:

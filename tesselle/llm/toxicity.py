@@ -5,13 +5,17 @@ For each place the log ratio of its smoothed counts in toxic and clean training
 a logistic regression is then fitted on the features scaled by their ratios, so that a score is
 ``sigmoid(b + sum of w * r over the text's features)``.
 
-The model is fitted on at most ``SAMPLE`` labelled rows of each class, those with the smallest
-hashes of their ids; that is the only bound. Every whole text is scored.
+The model is fitted on at most ``SAMPLE`` labelled documents of each class, those with the smallest
+hashes of their ids, and has at most ``FEATURES`` places, those that tell the classes apart most:
+these are its two parameters. Tasks count the places of all training texts; the driver gets their
+counts, chooses the places, and then gets each text's chosen ones. Every whole text is scored.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept. A row
 whose doc_id is null is never used in training and is not held out. Labels that are null are
-not used; of several labels of a document the larger counts. Without rows of both classes every
-score is that of the only class, or 0. Repeated rows give repeated results; other columns are ignored.
+not used; of several labels of a document the larger counts, of several texts of one doc_id the one
+that sorts first is learned from. Without rows of both classes every score is that of the only class,
+or 0. Repeated rows give repeated results; other columns are ignored, or kept by ``keep_clean``. Texts are
+worked on in runs of about 2 MB, a longer one alone, in memory that is in proportion to it.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, sliced, strings, whole_text
+from .common import SharedTable, arrow_map, sliced, strings, whole_text
 
 #: Orders of the n-grams.
 ORDERS = (4, 5, 6)
@@ -33,6 +37,8 @@ BITS = 20
 SAMPLE = 1500
 #: Features kept: those that tell the classes apart most.
 FEATURES = 6000
+#: Tasks that count the training texts; the driver gets two numbers for each place from each.
+PARTS = 8
 
 
 def bucket(id_col: str, modulus: int) -> Column:
@@ -94,15 +100,8 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 1.0, steps: int = 150) -> Model:
-    """Fit on the distinct feature places of each training text."""
-    if not len(rows) or labels.min() == labels.max():
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.inf if len(rows) and labels.min() == 1 else -np.inf)
-    counts = np.zeros((2, 1 << BITS))  # row by row: no copy of all rows' features
-    for row, label in zip(rows, labels, strict=True):
-        counts[label][row] += 1
-    q, p = counts
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
+def chosen_places(p: np.ndarray, q: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, log-count ratios) of the features to keep, from counts in n1 toxic and n0 clean texts."""
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
     # How far the share among toxic texts is from the share among clean ones, in standard errors.
     share = (p + q + 1) / (n1 + n0 + 2)
@@ -110,15 +109,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 1.0, steps:
     apart[p + q < 5] = 0
     places = np.sort(np.argsort(-apart, kind="stable")[:FEATURES])
     places = places[apart[places] > 2]
-    column = np.full(1 << BITS, -1, np.int32)
-    column[places] = np.arange(len(places))
+    return places, ratio[places]
+
+
+def only_class(n1: int, n0: int) -> Model:
+    """The model where one class, or both, are missing."""
+    return Model(np.zeros(0, np.int64), np.zeros(0), np.inf if n1 and not n0 else -np.inf)
+
+
+def fit_chosen(rows: list[np.ndarray], labels: np.ndarray, places: np.ndarray, ratio: np.ndarray, penalty: float = 1.0, steps: int = 150) -> Model:
+    """Fit on the chosen places (their numbers) of each training text."""
     x = np.zeros((len(rows), len(places)), np.float32)
     for i, row in enumerate(rows):
-        own = column[row]
-        x[i, own[own >= 0]] = 1
-    x *= ratio[places].astype(np.float32)
+        x[i, row] = 1
+    x *= ratio.astype(np.float32)
     w, b = _logistic(x, labels.astype(np.float32), penalty, steps)
-    return Model(places, w * ratio[places], b)
+    return Model(places, w * ratio, b)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
@@ -147,23 +153,54 @@ def training_ids(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, label, text: a row for each id of training_ids() that has a document, 2 * sample at most."""
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(training_ids(labels, sample)), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model fitted on the sample; the executors cut the features, the driver gets distinct places only."""
-    ids = training_ids(labels, sample)
-    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    """A model fitted on the sample."""
+    rows = SharedTable(training_rows(docs, labels, sample).repartition(PARTS), "toxicity-training")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = np.zeros((2, 1 << BITS), np.uint16), [0, 0]  # 2 * sample stays below 65,536
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                label = part.column(1).to_numpy().astype(bool).astype(np.int64)
+                doc, place = features(strings(part.column(2)))
+                np.add.at(counts, (label[doc], place), 1)
+                n = [n[0] + int((label == 0).sum()), n[1] + int((label == 1).sum())]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in n] + [pa.array([pa.compress(counts, "zstd", asbytes=True)], pa.binary())], names=["n0", "n1", "counts"])
+
+    assert 2 * sample < 1 << 16
+    parts = arrow_map(rows.df, count, "n0 long, n1 long, counts binary").collect()
+    n0, n1 = sum(r.n0 for r in parts), sum(r.n1 for r in parts)
+    if not n0 or not n1:
+        rows.drop()
+        return only_class(n1, n0)
+    q, p = sum(np.frombuffer(pa.decompress(r.counts, 4 << BITS, "zstd"), np.uint16).reshape(2, -1).astype(np.float64) for r in parts)
+    places, ratio = chosen_places(p, q, n1, n0)
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[places] = True
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, places))  # 1 MB and FEATURES numbers
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, places = shared.value
         for batch in batches:
             for part in sliced(batch, "text"):
-                doc, place = features(strings(part.column(1)))
+                doc, place = features(strings(part.column(2)), wanted)
                 bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                blobs = [place[a:b].astype(np.uint32).tobytes() for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "label", "places"])
+                at = np.searchsorted(places, place).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array([at[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], names=["doc_id", "label", "places"])
 
-    got = arrow_map(rows, cut, "doc_id long, label int, places binary").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = arrow_map(rows.df, cut, f"doc_id {kind}, label int, places binary").toArrow().sort_by([("doc_id", "ascending")])
+    rows.drop()
+    assert got.num_rows <= 2 * sample
     column = got.column("places")
-    return fit([np.frombuffer(column[i].as_buffer(), np.uint32) for i in range(got.num_rows)], got.column("label").to_numpy())
+    return fit_chosen([np.frombuffer(column[i].as_buffer(), np.uint16) for i in range(got.num_rows)], got.column("label").to_numpy(), places, ratio)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:

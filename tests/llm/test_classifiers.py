@@ -111,6 +111,113 @@ def test_kernel_against_sets():
     assert np.allclose(model.kernel([probe])[0], want, atol=1e-5)
 
 
+def test_toxicity_against_a_plain_fit(spark):
+    """Counts in dictionaries, the choice of places by sorting, steps in doubles, scores as sums."""
+    rows, labels = corpus(7, 400)
+    labels = [x for x in labels if x[2] is not None]
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    toxic, texts = {}, {}
+    for d, _, t in labels:
+        if d is not None and not held_out(d, 5, 0):
+            toxic[d] = max(t, toxic.get(d, 0))
+    for d, t, *_ in rows:
+        if d in toxic:
+            texts[d] = min(t or "", texts.get(d, t or ""))
+    ids = sorted(texts)
+    own = {d: set(toxicity.features([texts[d]])[1].tolist()) for d in ids}
+    n1 = sum(toxic[d] for d in ids)
+    n0 = len(ids) - n1
+    counts = {}
+    for d in ids:
+        for place in own[d]:
+            counts.setdefault(place, [0, 0])[toxic[d]] += 1
+    ratio, apart = {}, {}
+    for place, (q, p) in counts.items():
+        ratio[place] = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
+        share = (p + q + 1) / (n1 + n0 + 2)
+        apart[place] = abs(p / n1 - q / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)) if p + q >= 5 else 0
+    chosen = sorted(p for p in apart if apart[p] > 2)
+    assert len(chosen) < toxicity.FEATURES and chosen == model.places.tolist()
+    x = np.array([[ratio[p] * (p in own[d]) for p in chosen] for d in ids])
+    y = np.array([toxic[d] for d in ids], float)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    step = 1 / (0.25 * weight.max() * (np.linalg.norm(x.T @ x, 2) + len(y)) + 1)
+    now, before = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    for k in range(150):  # as many accelerated steps; that they are few keeps the weights small
+        at = now + k / (k + 3) * (now - before)
+        wrong = weight * (1 / (1 + np.exp(-(x @ at[:-1] + at[-1]))) - y)
+        before, now = now, at - step * np.append(x.T @ wrong + at[:-1], wrong.sum())
+    w = now
+    probes = [t or "" for _, t, *_ in rows[:120]]
+    found = model.scores(probes)
+    for text, score in zip(probes, found):
+        places = set(toxicity.features([text])[1].tolist())
+        want = 1 / (1 + np.exp(-(w[-1] + sum(w[i] * ratio[p] for i, p in enumerate(chosen) if p in places))))
+        assert abs(want - score) < 0.03
+        total = model.intercept + sum(weight for p, weight in zip(model.places.tolist(), model.weights) if p in places)
+        assert abs(1 / (1 + np.exp(-total)) - score) < 1e-9
+
+
+def test_training_rows_are_bounded_under_repeats(spark):
+    rows, labels = corpus(8, 200)
+    rows += [(1, f"toxic text number {i}", "en", None, 0) for i in range(3000)] + [(2, "the very same", "de", None, 0)] * 3000
+    docs = frame(spark, rows)
+    known = spark.createDataFrame(labels + [(1, 1, 1)] * 50, "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(docs, known, sample=20).collect()
+    assert len(got) <= 40 and len({r.doc_id for r in got}) == len(got)
+    assert {r.label for r in got} == {0, 1} and max(sum(r.label == k for r in got) for k in (0, 1)) <= 20
+    got = langid.training_rows(docs, sample=25, landmarks=4)
+    by = {lang: [r for r in got if r.lang == lang] for lang in ("en", "de", "fr")}
+    assert sum(map(len, by.values())) == len(got) and all(len(x) == 25 and sum(r.landmark for r in x) == 4 for x in by.values())
+    assert sum(r.text == "the very same" for r in got) <= 1
+    again = langid.training_rows(docs.repartition(7), sample=25, landmarks=4)
+    assert again == got
+    assert sum(len(r.text.encode()) for r in langid.training_rows(docs, sample=25, landmarks=4, limit=900)) <= 900
+    many = frame(spark, [(i, f"text {i}", f"l{i % 150}", None, 0) for i in range(900)] + [(i, f"text {i}", "often", None, 0) for i in range(900, 1000)])
+    got = langid.training_rows(many, languages=8)
+    assert len({r.lang for r in got}) == 8 and "often" in {r.lang for r in got}
+
+
+def test_language_against_a_plain_fit():
+    """The kernel from sets, one system of equations, the largest of the scores."""
+    r = random.Random(1)
+    texts, langs = zip(*[(prose(r, lang, r.randint(4, 25)), lang) for lang in SYLLABLES for _ in range(14)])
+    landmark = [i % 3 == 0 for i in range(len(texts))]
+    model = langid.fit(list(texts), list(langs), landmark)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    marks = [grams(t.lower()) for t, m in zip(texts, landmark) if m]
+    space = {g for g in set().union(*marks) if sum(g in m for m in marks) >= 2}
+    kernel = lambda x: [len(x & m & space) / (max(1, len(x & space)) * max(1, len(m & space))) ** 0.5 for m in marks]
+    names = sorted(SYLLABLES)
+    k_nm, k_mm = np.array([kernel(grams(t.lower())) for t in texts]), np.array([kernel(m) for m in marks])
+    y = np.array([[float(lang == n) for n in names] for lang in langs])
+    weight = np.diag([1 / langs.count(lang) for lang in langs])
+    alpha = np.linalg.solve(k_nm.T @ weight @ k_nm + langid.RIDGE * len(names) * k_mm + 1e-8 * np.eye(len(marks)), k_nm.T @ weight @ y)
+    probes = [prose(r, lang, n) for lang in SYLLABLES for n in (1, 3, 20)]
+    want = np.array([kernel(grams(t.lower())) for t in probes]) @ alpha
+    got, scores = model.predict(probes)
+    assert got == [names[i] for i in want.argmax(axis=1)]
+    assert np.allclose(scores, np.clip(want.max(axis=1), 0, 1), atol=0.02)
+
+
+def test_many_scripts(monkeypatch):
+    r = random.Random(2)
+    scripts = {"zh": range(0x4E00, 0x4F40), "ja": range(0x3041, 0x3097), "ko": range(0xAC00, 0xAD00), "xx": range(0x1F600, 0x1F640), "ru": range(0x430, 0x450)}
+    made = lambda lang: "".join(chr(r.choice(scripts[lang])) for _ in range(60))
+    texts, langs = zip(*[(made(lang), lang) for lang in scripts for _ in range(12)])
+    model = langid.fit(list(texts), list(langs), [True] * len(texts))
+    assert int(model.letters.max()) > 161 and model.slots[2].table is None
+    probes = [made(lang) for lang in scripts for _ in range(5)]
+    assert model.predict(probes)[0] == [lang for lang in scripts for _ in range(5)]
+    few = [prose(r, lang, 12) for lang in SYLLABLES for _ in range(5)]
+    table = langid.fit(few, ["a"] * len(few), [True] * len(few))
+    assert table.slots[2].table is not None
+    want = table.presence(few + probes)
+    monkeypatch.setattr(langid, "TABLE", 0)
+    search = langid.fit(few, ["a"] * len(few), [True] * len(few))
+    assert search.slots[2].table is None and (search.presence(few + probes) == want).all()
+
+
 def test_language_without_training(spark):
     docs = frame(spark, [(1, "the", None, None, 0)])
     assert [r.lang_pred for r in langid.identify(docs, langid.train(docs)).collect()] == ["und"]
