@@ -9,6 +9,7 @@ window without samples has no row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +65,47 @@ OPERATIONS = (
 )
 
 
+#: Names that carry no prefix.
+UNPREFIXED = ("d1_query", "tigris_storage_get", "tiles_cdn_hit", "error")
+
+
+@dataclass(frozen=True)
+class Point:
+    """A point as it is put together: each step gives a new one; a later value of a tag or field counts."""
+
+    name: Column
+    tag_pairs: tuple[tuple[str, Column], ...] = ()
+    more_tags: tuple[Column, ...] = ()
+    field_pairs: tuple[tuple[str, Column], ...] = ()
+
+    def tag(self, key: str, value: Column) -> Point:
+        return replace(self, tag_pairs=(*self.tag_pairs, (key, value.cast("string"))))
+
+    def with_tags(self, tags: Column) -> Point:
+        """Tags of a map, over those that are named one by one."""
+        return replace(self, more_tags=(*self.more_tags, tags))
+
+    def duration(self, key: str, milliseconds: Column) -> Point:
+        return replace(self, field_pairs=(*self.field_pairs, (key, field(milliseconds, "duration"))))
+
+    def number(self, key: str, value: Column) -> Point:
+        return replace(self, field_pairs=(*self.field_pairs, (key, field(value, "int"))))
+
+    def tags(self) -> Column:
+        named = {k: v for k, v in self.tag_pairs}
+        own = F.create_map(*(x for k, v in named.items() for x in (F.lit(k), v))) if named else F.create_map().cast("map<string,string>")
+        return merged(own, *self.more_tags) if self.more_tags else own
+
+    def fields(self) -> Column:
+        found = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in dict(self.field_pairs).items()))
+        if not self.field_pairs:
+            return F.create_map().cast("map<string, struct<value: double, type: string>>")
+        return F.map_from_entries(F.filter(found, lambda e: e["v"]["value"].isNotNull()))
+
+    def line(self) -> Column:
+        return line_protocol(self.name, self.tags(), self.fields())
+
+
 def elapsed(start: Column, end: Column) -> Column:
     """Milliseconds between two timestamps."""
     return (F.unix_micros(end) - F.unix_micros(start)) / 1000.0
@@ -219,6 +261,11 @@ def last_not_null(rolled: DataFrame, v: str = "v") -> DataFrame:
     return rolled.where(F.col(v).isNotNull()).agg(F.max_by(v, "t_us").alias("v"), F.max("t_us").alias("t_us"))
 
 
+def at_last(rolled: DataFrame) -> DataFrame:
+    """The rows of the latest time."""
+    return rolled.join(rolled.agg(F.max("t_us").alias("t_us")), "t_us", "left_semi")
+
+
 def union_or(left: DataFrame, right: DataFrame, labels: Sequence[str]) -> DataFrame:
     """All of the left, and of the right what has labels that the left has not, at the same time."""
     keys = ["t_us", *labels]

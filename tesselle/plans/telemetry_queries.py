@@ -49,7 +49,15 @@ def _cents(spark, sf_dir):
 @query(f"WITH {SAMPLES}, {spread('samples', H, MIN)} SELECT t AS t_us, colo, CAST(sum(value::DECIMAL(18,2)) AS DOUBLE) AS v FROM spread GROUP BY t, colo")
 def sum_over_time_by_label(spark, sf_dir):
     r = tm.rollup(_cents(spark, sf_dir), "sum", H, MIN, ["metric", "colo"])
-    return tm.aggregate(r, "sum", ["colo"]).withColumn("v", F.col("v").cast("double")).orderBy("v")
+    return tm.aggregate(r, "sum", ["colo"]).withColumn("v", F.col("v").cast("double"))
+
+
+@query(f"""WITH {SAMPLES}, {spread('samples', H, MIN)}, s AS (SELECT t AS t_us, colo, CAST(sum(value::DECIMAL(18,2)) AS DOUBLE) AS v FROM spread GROUP BY t, colo)
+    SELECT t_us, colo, v FROM s WHERE t_us = (SELECT max(t_us) FROM s) ORDER BY v, colo""")
+def sorted_by_value(spark, sf_dir):
+    """What a panel shows of the latest instant: its values in ascending order."""
+    last = tm.at_last(sum_over_time_by_label(spark, sf_dir))
+    return last.orderBy("v", "colo")
 
 
 @query(f"""WITH {SAMPLES}, {spread('samples', H, 10 * MIN)}, p AS (SELECT t, colo, sum(value::DECIMAL(18,2)) AS v FROM spread GROUP BY t, colo),

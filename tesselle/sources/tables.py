@@ -21,13 +21,38 @@ RETIRE_SECONDS = 10.0
 POINTER = "_live"
 
 
+#: Columns of an index table, none of which may be null; the key is unique.
+INDEX_SCHEMA = "start_tile_id BIGINT NOT NULL, entry STRING NOT NULL"
+
+
+def not_null(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` as it is; a null in one of the columns is an error when it is read."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.raise_error(F.lit(f"{c} is null")).cast(df.schema[c].dataType)) for c in columns})
+
+
+def repeated_keys(rows: DataFrame, key: str = "start_tile_id") -> DataFrame:
+    """Keys that more than one row has; an index has none."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def write_index(rows: DataFrame, path: str, deployment_key: str, files: int | None = None) -> str:
-    """Index rows sorted by key over the files, so that row groups can be skipped; returns the place."""
+    """Index rows sorted by key over the files, so that row groups can be skipped; returns the place.
+
+    A null key or entry is an error, and leaves no version to publish.
+    """
     place = f"{path}/deployment={deployment_key}"
-    rows.repartitionByRange(*([files] if files else []), "start_tile_id").sortWithinPartitions("start_tile_id").write.mode("overwrite").parquet(place)
+    not_null(rows, "start_tile_id", "entry").repartitionByRange(*([files] if files else []), "start_tile_id").sortWithinPartitions("start_tile_id").write.mode("overwrite").parquet(place)
     return place
 
 
+def create_index(spark: SparkSession, name: str, place: str, metadata: str | None = None) -> None:
+    """A catalogue table over a place, empty or with what is written there; the metadata goes into the row of key -1."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} ({INDEX_SCHEMA}) USING parquet LOCATION '{place}'")
+    if metadata is not None:
+        spark.sql(f"INSERT INTO {name} VALUES (-1, ?)", args=[metadata])
+
+
 def _files(spark: SparkSession, path: str):
     """(file system, path, class of paths) of a place on any store."""
     kind = spark._jvm.org.apache.hadoop.fs.Path

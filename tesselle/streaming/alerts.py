@@ -7,10 +7,12 @@ data counts as a condition that does not hold.
 
 from __future__ import annotations
 
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -167,6 +169,24 @@ def write_points(points: DataFrame, providers: dict[str, Callable[[DataFrame, in
     return points.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def post_lines(url: str, headers: dict[str, str] | None = None, timeout: float = 10.0) -> Callable[[DataFrame, int], None]:
+    """A provider that sends the lines of a batch to a service, a request for each part of at most some megabytes.
+
+    A response that tells of an error fails the task, which is tried again.
+    """
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = "\n".join(batch.column(0).to_pylist()).encode()
+            with urllib.request.urlopen(urllib.request.Request(url, body, headers or {}, method="POST"), timeout=timeout):
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["sent"])
+
+    def provider(frame: DataFrame, _: int) -> None:
+        frame.where("line IS NOT NULL").select("line").mapInArrow(post, "sent long").agg(F.sum("sent")).collect()
+
+    return provider
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, into a written table.
 

@@ -76,6 +76,39 @@ def test_points_go_to_all_providers_and_then_what_was_deferred_runs(spark, tmp_p
     assert seen == [("influx", ["a", "b"]), ("header", ["a", "b"]), ("deferred", 0)]
 
 
+def test_a_point_put_together(spark):
+    point = tm.Point(F.lit("d1_query")).tag("query", F.lit("a b")).tag("query", F.lit("SELECT 1")).with_tags(F.create_map(F.lit("colo"), F.lit("AMS")))
+    made = point.duration("duration", F.col("d")).number("rows", F.lit(3)).number("none", F.lit(None))
+    row = spark.createDataFrame([(12.9,)], "d double").select(made.line().alias("line"), point.line().alias("bare")).first()
+    assert row.line == "d1_query,colo=AMS,query=SELECT\\ 1 duration=12i,rows=3i" and row.bare is None
+
+
+def test_lines_are_posted(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    got = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append((self.headers["Authorization"], self.rfile.read(int(self.headers["Content-Length"])).decode().split("\n")))
+            self.send_response(204 if self.path == "/write" else 500)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    lines = spark.createDataFrame([("a x=1i",), (None,), ("b x=2i",)], "line string").coalesce(1)
+    place = f"http://127.0.0.1:{server.server_port}"
+    alerts.post_lines(f"{place}/write", {"Authorization": "Token t"})(lines, 0)
+    assert got == [("Token t", ["a x=1i", "b x=2i"])]
+    with pytest.raises(PySparkException):
+        alerts.post_lines(f"{place}/broken")(lines, 0)
+    server.shutdown()
+
+
 def test_rollup_windows_and_last(spark):
     rows = [(0, 1, "a", 1.0), (MIN, 2, "a", 2.0), (MIN, 3, "a", 3.0), (MIN + 1, 4, "a", 4.0), (3 * MIN, 5, "b", 5.0)]
     df = spark.createDataFrame(rows, "t_us long, event_id long, s string, value double")

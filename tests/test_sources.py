@@ -131,6 +131,23 @@ def test_publish_swap_and_retire(spark, tmp_path):
     assert tables.read_objects(spark, place, "2").count() >= 1
 
 
+def test_an_index_has_no_nulls_and_no_repeated_keys(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "start_tile_id long, entry string")
+    assert [tuple(r) for r in tables.repeated_keys(rows).collect()] == [(1, 2)]
+    for bad in ((None, "x"), (3, None)):
+        with pytest.raises(Exception, match="is null"):
+            tables.write_index(rows.union(spark.createDataFrame([bad], rows.schema)), str(tmp_path), "1")
+
+
+def test_a_catalogue_table_with_its_metadata(spark, tmp_path):
+    place = tables.write_index(spark.createDataFrame([(5, "x")], "start_tile_id long, entry string"), str(tmp_path / "index"), "1")
+    tables.create_index(spark, "index_table", place, '{"name": "planet"}')
+    assert sorted(map(tuple, spark.table("index_table").collect())) == [(-1, '{"name": "planet"}'), (5, "x")]
+    tables.create_index(spark, "index_table", str(tmp_path / "empty"))
+    assert spark.table("index_table").isEmpty()
+    spark.sql("DROP TABLE index_table")
+
+
 def test_cache_refresh_keeps_one_row_of_a_key(spark):
     cache = spark.createDataFrame([("a", 200, 0), ("b", 200, 0)], "url string, status int, at int")
     new = spark.createDataFrame([("b", 404, 2), ("b", 500, 1), ("c", 200, 5), ("c", 201, 5)], "url string, status int, at int")
