@@ -2,10 +2,12 @@
 
 The k-mers of a text's code points are numbered by occurrence, so that repeats differ. Each
 (k-mer, number) has a random 64-bit priority whose leading bits deal it to one of ``SKETCHES``
-sketches. A sketch selects its ``TUPLE`` least priorities, puts the selected k-mers back into
+sketches. A sketch selects its two least priorities, puts the selected k-mers back into
 text order and hashes them as a tuple: a signature of 16 bits that changes when k-mers are
-replaced and also when they are moved, as edit distance does. An empty sketch is ``0000``. The
-likeness of two fingerprints is the share of equal signatures among those that either has.
+replaced and also when they are moved, as edit distance does. A sketch with fewer than two, as short
+texts have them, takes the least one of other sketches, in an order that is fixed for each sketch, so
+that its tuple holds an order too. The likeness of two fingerprints is the share of equal signatures
+among those that either has.
 
 Documents are range-partitioned by id once, so that a task sees each next document itself; the
 last document of a task meets the first one of the next task in a second, small step.
@@ -35,6 +37,8 @@ K = 8
 TUPLE = 2
 SKETCH_BITS = 7
 SKETCHES = 1 << SKETCH_BITS
+#: The n-th sketch that a sketch s borrows from is s + n * STEPS[s]; odd steps reach them all.
+STEPS = (np.arange(SKETCHES) * 45 | 1) % SKETCHES
 #: Code points that are worked on at a time; a longer text alone.
 PART = 400_000
 
@@ -125,14 +129,36 @@ def _signatures(texts: list[str], k: int, out: np.ndarray) -> None:
     at, group, rank = place[order[chosen]], group[chosen], rank[chosen]
     hashes, number = hashes[order[chosen]], number[chosen]
     by = np.lexsort([at, rank, group])
-    count = np.arange(len(by)) - np.searchsorted(group[by], group[by])
-    by = by[count < TUPLE]  # equal ranks: the first in the text
-    by = by[np.lexsort([at[by], group[by]])]
-    groups, start = np.unique(group[by], return_index=True)
-    item = _mixed(hashes[by] + number[by].astype(np.uint64) * ODD1)
-    nth = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
-    tuples = _mixed(np.add.reduceat(item * (nth.astype(np.uint64) * np.uint64(2) + ODD1), start))
-    out.reshape(-1)[groups] = (1 + tuples % np.uint64(65535)).astype(np.uint16)
+    nth = np.arange(len(by)) - np.searchsorted(group[by], group[by])  # equal ranks: the first in the text
+    least, second = (np.full(len(texts) << SKETCH_BITS, -1) for _ in range(TUPLE))
+    for n, found in enumerate((least, second)):
+        found[group[by[nth == n]]] = by[nth == n]
+    borrow(least, second)
+    full = np.flatnonzero(least >= 0)
+    a, b = least[full], second[full]
+    alone = b < 0
+    early = np.where(alone | (at[a] < at[b]), a, b)
+    late = a + b - early
+    item = _mixed(hashes + number.astype(np.uint64) * ODD1)
+    tuples = _mixed(item[early] * ODD1 + np.where(alone, np.uint64(0), item[late] * (ODD1 + np.uint64(2))))
+    out.reshape(-1)[full] = (1 + tuples % np.uint64(65535)).astype(np.uint16)
+
+
+def borrow(least: np.ndarray, second: np.ndarray) -> None:
+    """Fill sketches that lack one or both (-1) with the least of other sketches of their text, as far as there are any."""
+    own, at = least.copy(), np.arange(len(least))
+    sketch = at % SKETCHES
+    some = np.repeat((own.reshape(-1, SKETCHES) >= 0).any(axis=1), SKETCHES)
+    short = np.flatnonzero(some & (second < 0))
+    for n in range(1, SKETCHES):
+        if not len(short):
+            break
+        donor = own[at[short] - sketch[short] + (sketch[short] + n * STEPS[sketch[short]]) % SKETCHES]
+        got, item = short[donor >= 0], donor[donor >= 0]
+        empty = least[got] < 0
+        least[got[empty]] = item[empty]
+        second[got[~empty]] = item[~empty]
+        short = short[second[short] < 0]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
