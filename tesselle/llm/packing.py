@@ -57,8 +57,7 @@ class WordTable:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(vocabulary)
-        added = [re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added)) if added else None
+        self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks:
             import tiktoken
@@ -119,11 +118,11 @@ class WordTable:
             start = stop
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        special = [bool(self.added and self.added.search(t)) for t in texts]
+        special = [any(a in t for a in self.added) for t in texts]
         cut = [[] if odd else GAP.split(t) if NEAR.search(t) else t.split(" ") for t, odd in zip(texts, special)]
         words = {w for found in cut for w in found[1:]}
         long = [w for w in words if len(w) > LONG]
-        self.add(words.difference(long))
+        self.add(words.difference(long) if long else words)
         for word in long:  # known for this call only
             self.ids[word] = self.one(" " + word)
         get = self.ids.__getitem__

@@ -93,7 +93,7 @@ class ChunkTable:
         cut = [self.chunks(t) for t in texts]
         every = set().union(*cut)
         long = [c for c in every if len(c) > LONG]
-        self.add(every.difference(long))
+        self.add(every.difference(long) if long else every)
         self.segment(long)  # known for this call only
         get, odd = self.ids.__getitem__, self.odd
         try:

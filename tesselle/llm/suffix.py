@@ -50,7 +50,6 @@ BLOCK_BYTES, BUFFER_BYTES = 32 << 20, 16 << 20
 #: Bits of the map of texts that have anything to remove; more texts make it fuller, never wrong.
 MAP_BITS = 1 << 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
-PLACE_BITS = np.uint64(26)
 PLACE = np.uint64((1 << 26) - 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -98,12 +97,11 @@ def window_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, stretch: int = STRETCH, lead: int = LEAD):
+def anchors(data: np.ndarray, offsets: np.ndarray, hashes: Hashes, stretch: int = STRETCH, lead: int = LEAD):
     """(anchor, text number, first window, windows) of every anchor, and of the windows known to be
     repeated (text number, first window, windows)."""
     if len(data) < stretch:
         return tuple(np.zeros(0, np.int64) for _ in range(4)), tuple(np.zeros(0, np.int64) for _ in range(3))
-    hashes = Hashes(data)
     leads = hashes.every(lead)
     keys = (leads & ~PLACE) | (PLACE - np.arange(len(leads), dtype=np.uint64))
     least = window_least(keys, stretch - lead + 1)  # by first byte of the window
@@ -263,11 +261,12 @@ def suffixes(texts: DataFrame, splitters: Broadcast, cells: int = 1, stretch: in
         for batch in batches:
             k0, k1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for data, offsets, rows, places in slices(batch.column(2), part, stretch):
-                (at, text, first, n), (f_text, f_first, f_n) = anchors(data, offsets, stretch, lead)
+                hashes = Hashes(data)
+                (at, text, first, n), (f_text, f_first, f_n) = anchors(data, offsets, hashes, stretch, lead)
                 if not len(at):
                     continue
                 row, low = rows[text], first - offsets[text] + places[text]
-                sender.add(data.copy(), k0[row], k1[row], low, n, at - first, first, tokens(data, Hashes(data), at, first, n, k0[row], low, stretch, lead))
+                sender.add(data.copy(), k0[row], k1[row], low, n, at - first, first, tokens(data, hashes, at, first, n, k0[row], low, stretch, lead))
                 row = rows[f_text]
                 sender.known.append((k0[row], k1[row], f_first - offsets[f_text] + places[f_text], f_n))
                 if sender.held >= buffer:
@@ -327,9 +326,10 @@ def draw_splitters(texts: DataFrame, total: int, stretch: int, lead: int, part:
         for batch in batches:
             k0 = batch.column(0).to_numpy()
             for data, offsets, rows, places in slices(batch.column(2), part, stretch):
-                (at, text, first, n), _ = anchors(data, offsets, stretch, lead)
+                hashes = Hashes(data)
+                (at, text, first, n), _ = anchors(data, offsets, hashes, stretch, lead)
                 if len(at):
-                    t = tokens(data, Hashes(data), at, first, n, k0[rows[text]], first - offsets[text] + places[text], stretch, lead)
+                    t = tokens(data, hashes, at, first, n, k0[rows[text]], first - offsets[text] + places[text], stretch, lead)
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in t], names=names)
 
     drawn = [np.zeros(0, np.uint64) for _ in names]
