@@ -35,7 +35,7 @@ from .common import SharedTable, arrow_map, sliced, strings
 
 LENGTH = 2048
 #: Bytes of each half of a task's table, about, and characters of the longest word that it keeps.
-TABLE_BYTES, LONG = 32 << 20, 256
+TABLE_BYTES, LONG = 56 << 20, 256
 END_ID = 0
 
 #: A space between two other characters: what follows begins a new word for the tokenizer.
