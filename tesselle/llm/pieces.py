@@ -25,7 +25,7 @@ from .common import arrow_map, sliced, strings
 
 MARKER = "▁"
 #: Bytes of each half of a task's table, about, and characters of the longest chunk that it keeps.
-TABLE_BYTES, LONG = 40 << 20, 256
+TABLE_BYTES, LONG = 64 << 20, 256
 #: A run of spaces with the word behind it.
 CHUNK = re.compile(r" +[^ ]*")
 
